@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import pieces, terms
+from docloom.llm import neighbours, pieces, terms
 from docloom.sources.tables import table
 
 
@@ -26,7 +26,19 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.all_pieces(table(spark, d, "sections"), table(spark, d, "section_config"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "section_vectors"), "stable_chunk_uid", "dense")
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id hash is divisible by 100, against all vectors."""
+    vectors = table(spark, d, "section_vectors")
+    asking = vectors.select("stable_chunk_uid").where(F.pmod(F.xxhash64("stable_chunk_uid"), F.lit(100)) == 0)
+    near = neighbours.nearest_neighbours(vectors, "stable_chunk_uid", "dense", factor=neighbours.OPEN_FACTOR, queries=asking)
+    return near.select("uid", "other", F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 
 _TERMS = r"""WITH texts AS (SELECT section_id, max(text) AS v FROM sections WHERE section_id IS NOT NULL GROUP BY section_id),
 lists AS (SELECT section_id, max(identifiers) AS v FROM work_items WHERE section_id IS NOT NULL GROUP BY section_id),
@@ -41,4 +53,8 @@ SQL = {
     "p3_found": f"{_TERMS} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": f"{_TERMS} SELECT * FROM marked",
     "p4_found": """SELECT DISTINCT s.section_id FROM sections s JOIN section_config c ON c.profile = coalesce(s.profile, 'standard') WHERE length(s.text) > c.max_chars""",
+    "p5_found": """WITH v AS (
+  SELECT DISTINCT stable_chunk_uid AS uid, CAST(dense AS DOUBLE[]) AS x FROM section_vectors
+  WHERE stable_chunk_uid IS NOT NULL AND len(dense) = 64 AND len(list_filter(dense, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(dense, lambda e: e <> 0)) > 0)
+SELECT DISTINCT a.uid AS uid_a, b.uid AS uid_b FROM v a JOIN v b ON a.uid < b.uid WHERE list_cosine_similarity(a.x, b.x) >= 0.95""",
 }
