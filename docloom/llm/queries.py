@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import neighbours, pieces, terms
+from docloom.llm import bpe, neighbours, pieces, terms
 from docloom.sources.tables import table
 
 
@@ -38,7 +38,11 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("uid", "other", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids}
 
 _TERMS = r"""WITH texts AS (SELECT section_id, max(text) AS v FROM sections WHERE section_id IS NOT NULL GROUP BY section_id),
 lists AS (SELECT section_id, max(identifiers) AS v FROM work_items WHERE section_id IS NOT NULL GROUP BY section_id),
