@@ -1,9 +1,9 @@
 """The k most similar vectors of every vector: vantage-point trees per shard.
 
 1. Vectors that cannot have neighbours (null, wrong size, zero, NaN or infinite
-   parts) are dropped. Exact copies are searched once: a group of copies is one
-   representative plus its ``k + 1`` smallest ids, cut by a ranked window that
-   limits each map task before the shuffle.
+   parts) are dropped. Exact copies are searched once: each batch turns a group
+   of copies into one row with its ``k + 1`` smallest ids before the shuffle.
+   The members of larger groups get their result by a join on the vector's hash.
 2. A routing vantage-point tree, fitted on a bounded sample, cuts the space into
    shards whose number follows the number of vectors. Every vector is stored in
    its home shard and visits, as a query, the shards the triangle inequality
@@ -24,16 +24,16 @@ one node that parts it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors a shard should hold, and sampled vectors per routing leaf.
-SHARD_ROWS = 25_000
+#: Vectors a shard holds at most and, to keep all cores busy, at least; sampled vectors per routing leaf.
+SHARD_ROWS, LEAST_SHARD_ROWS = 200_000, 10_000
 SAMPLE_PER_LEAF = 256
 LEAF_ROWS = 512
 #: Rounding of float32 angles near zero, in radians.
@@ -42,8 +42,6 @@ SLACK = 1e-3
 #: Factor for searches without a least similarity, where the k-th neighbour is far: chosen for a recall above 0.9.
 OPEN_FACTOR = 0.4
 
-_RESULT = "uid string, other string, cosine double"
-
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     x = rows.astype(np.float64)
@@ -190,36 +188,31 @@ def search(root: Node, x: np.ndarray, q: np.ndarray, k: int, factor: float, leas
 
 
 def usable(vectors: DataFrame, uid: str, dense: str, dim: int) -> DataFrame:
-    """(uid, dense), without vectors that have no neighbours; repeated rows once."""
+    """(uid, dense, h1, h2), without vectors that have no neighbours. h1 and h2 are 128 bits of hash of the vector."""
     x = F.col(dense)
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     fit = (F.size(x) == dim) & ~F.exists(x, bad) & F.exists(x, lambda v: v != 0)
-    return vectors.where(F.col(uid).isNotNull() & x.isNotNull()).where(fit).select(F.col(uid).alias("uid"), x.cast("array<float>").alias("dense"))
-
-
-def _copies(rows: DataFrame, k: int) -> DataFrame:
-    """(uid, dense, place): up to k + 1 smallest ids per distinct vector; place 1 is the representative."""
-    w = Window.partitionBy("dense").orderBy("uid")
-    return rows.distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    rows = vectors.where(F.col(uid).isNotNull() & x.isNotNull()).where(fit).select(F.col(uid).alias("uid"), x.cast("array<float>").alias("dense"))
+    return rows.withColumn("h1", F.xxhash64("dense")).withColumn("h2", F.xxhash64(F.lit(1), "dense"))
 
 
 def routing_tree(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> Node:
-    """A tree with about one leaf per ``shard_rows`` vectors, fitted on a bounded sample.
+    """A tree with a leaf per shard, fitted on a bounded sample.
 
-    The sample has ``SAMPLE_PER_LEAF`` vectors per leaf (4,096 at least): for
-    25,000 rows a shard that is one percent of the vectors, and the tree that
+    Shards hold up to ``shard_rows`` vectors, fewer while there are not yet as
+    many shards as the cluster has cores. The sample has ``SAMPLE_PER_LEAF``
+    vectors per leaf (4,096 at least), a fixed choice by hash; the tree that
     travels to the tasks is one vector per leaf.
     """
-    n = rows.count()
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     shards = 1
-    while shards * shard_rows < n:
+    while shards * shard_rows < n or (shards < cores and shards * LEAST_SHARD_ROWS < n):
         shards *= 2
     if shards == 1:
         return Node(0, 0)
     want = max(4096, shards * SAMPLE_PER_LEAF)
-    # a fixed hash order makes the sample independent of partitioning
-    share = min(1.0, 1.2 * want / n)
-    taken = rows.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dense").limit(2 * want).toArrow()
+    share = int(min(1.0, 1.2 * want / n) * 1_000_000) + 1
+    taken = rows.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < share).select("dense").limit(2 * want).toArrow()
     x = _unit(_matrix(taken.column("dense").combine_chunks(), dim))
     root, _ = build_tree(x, max(1, -(-len(x) // shards)))
     for i, leaf in enumerate(leaves(root)):
@@ -227,6 +220,13 @@ def routing_tree(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> Nod
     return root
 
 
+def _groups(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows ordered so that equal hashes are adjacent, and where each group starts."""
+    order = np.lexsort((h2, h1))
+    new = np.concatenate(([True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)))
+    return order, np.flatnonzero(new)
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     uid: str,
@@ -235,85 +235,90 @@ def nearest_neighbours(
     k: int = 10,
     factor: float = 0.3,
     least_cosine: float = -1.0,
-    queries: DataFrame | None = None,
+    asks: Callable[[Column], Column] | None = None,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """(uid, other, cosine): the ``k`` most similar other vectors of every vector.
 
     ``least_cosine`` asks only for neighbours at least that similar, which also
-    bounds the search radius from the start. ``queries`` (a column of ids named
-    as ``uid``) restricts who asks, not who is found. Ties go to the smaller id.
-    A vector without usable parts neither asks nor is found. Empty tables give
-    no rows.
+    bounds the search radius from the start. ``asks``, a condition on the id,
+    restricts who asks, not who is found. Ties go to the smaller id. A vector
+    without usable parts neither asks nor is found; repeated rows count once.
+    Empty tables give no rows.
     """
     rows = usable(vectors, uid, dense, dim)
-    # one row per distinct vector; whom it represents, only groups of copies need
-    groups = _copies(rows, k).groupBy("dense").agg(F.min("uid").alias("rep"), F.sort_array(F.collect_list("uid")).alias("members"))
-    reps = groups.select(F.col("rep").alias("uid"), "dense")
     root = routing_tree(rows, dim, shard_rows)
-    asking = reps
-    if queries is not None:
-        wanted = queries.select(F.col(uid).alias("uid")).distinct()
-        asking = rows.join(wanted, "uid", "left_semi").distinct()
     radius = float(np.arccos(np.clip(least_cosine, -1, 1)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, kind = _unit(_matrix(b.column(1), dim)), np.asarray(b.column(2))
-            stored, asks = np.flatnonzero(kind & 1), np.flatnonzero(kind & 2)
-            home = home_leaf(root, x[stored]) if len(stored) else stored
-            parts = [(stored, home, 1)] + [(asks[r], np.full(len(r), n.shard), 2) for n, r in visited(root, x[asks], radius, factor) if len(r)]
-            take = np.concatenate([p[0] for p in parts])
-            if not len(take):
-                continue
-            flat = pa.array(x[take].reshape(-1))
+            names, h1, h2, asking = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
+            order, starts = _groups(h1, h2)
+            first = order[starts]
+            ask = np.maximum.reduceat(asking[order].astype(np.int32), starts)
+            # copies of a vector become one row with the smallest ids, so a hot group is one row per batch
+            lists, many = [[names[i]] for i in first], np.zeros(len(first), dtype=bool)
+            for g in np.flatnonzero(np.diff(np.append(starts, len(order))) > 1):
+                ids = sorted(set(names[order[starts[g] : starts[g + 1] if g + 1 < len(starts) else None]]))
+                lists[g], many[g] = ids[: k + 1], len(ids) > k + 1
+            x = _unit(_matrix(b.column(1).take(pa.array(first)), dim))
+            home, asked = home_leaf(root, x), np.flatnonzero(ask)
+            parts = [(np.arange(len(first)), home, 1 + 2 * ask)]
+            for leaf, r in visited(root, x[asked], radius, factor):
+                r = asked[r][home[asked[r]] != leaf.shard]
+                parts.append((r, np.full(len(r), leaf.shard), np.full(len(r), 2)))
+            take, shard, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            at = pa.array(first[take])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([p[1] for p in parts]).astype(np.int64)),
-                    pa.array(np.concatenate([np.full(len(p[0]), p[2], dtype=np.int32) for p in parts])),
-                    b.column(0).take(pa.array(take)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32) * dim), flat),
-                ],
-                names=["shard", "kind", "uid", "dense"],
+                [pa.array(shard.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array(lists, pa.list_(pa.string())).take(pa.array(take)), pa.array(many[take]), b.column(2).take(at), b.column(3).take(at), b.column(1).take(at)],
+                names=["shard", "kind", "uids", "more", "h1", "h2", "dense"],
             )
 
     def shard_search(table: pa.Table) -> pa.Table:
-        kind = np.asarray(table.column("kind"))
-        flat = table.column("dense").combine_chunks()
-        x, names = _matrix(flat, dim), table.column("uid").to_numpy()
-        stored, asks = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-        stored = stored[np.argsort(names[stored], kind="stable")]
-        empty = pa.table({"uid": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
-        if not len(stored) or not len(asks):
-            return empty
-        tree, order = build_tree(x[stored], LEAF_ROWS)
-        data = np.ascontiguousarray(x[stored[order]])
-        # float32 products err by about 1e-6; the exact check below decides
-        top = search(tree, data, x[asks], k + 1, factor, least_cosine - 1e-5)
-        q, j = np.nonzero(top.row >= 0)
-        if not len(q):
-            return empty
-        a, b = asks[q], stored[order[top.row[q, j]]]
-        u, v = x[a].astype(np.float64), x[b].astype(np.float64)
-        cosine = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
-        good = (cosine >= least_cosine - 1e-9) if least_cosine > -1 else np.ones(len(a), dtype=bool)
-        return pa.table({"uid": pa.array(names[a[good]], pa.string()), "other": pa.array(names[b[good]], pa.string()), "cosine": pa.array(cosine[good])})
-
-    kinds = reps.select("uid", "dense", F.lit(1).alias("kind")) if queries is not None else reps.select("uid", "dense", F.lit(3).alias("kind"))
-    if queries is not None:
-        kinds = kinds.unionByName(asking.select("uid", "dense", F.lit(2).alias("kind")))
-    routed = kinds.mapInArrow(route, "shard long, kind int, uid string, dense array<float>")
-    found = routed.groupBy("shard").applyInArrow(shard_search, _RESULT)
-    # a query meets its own representative and copies: spread representatives over their members, then rank
-    members = groups.where(F.size("members") > 1).select(F.col("rep").alias("other"), "members")
-    wide = found.join(members, "other", "left").select("uid", F.explode(F.coalesce("members", F.array("other"))).alias("other"), "cosine")
-    if queries is None:
-        same = rows.distinct().join(groups.where(F.size("members") > 1).select("dense", "rep"), "dense").select(F.col("rep").alias("uid"), F.col("uid").alias("member"))
-        wide = wide.join(same, "uid", "left").select(F.coalesce("member", "uid").alias("uid"), "other", "cosine")
+        kind, h1, h2, more = (table.column(c).to_numpy() for c in ("kind", "h1", "h2", "more"))
+        order, starts = _groups(h1, h2)
+        first = order[starts]
+        kind, more = np.bitwise_or.reduceat(kind[order], starts), np.maximum.reduceat(more[order], starts)
+        uids = table.column("uids").combine_chunks()
+        lists = uids.take(pa.array(first)).to_pylist()
+        for g in np.flatnonzero(np.diff(np.append(starts, len(order))) > 1):
+            ids = sorted({u for one in uids.take(pa.array(order[starts[g] : starts[g + 1] if g + 1 < len(starts) else None])).to_pylist() for u in one})
+            lists[g], more[g] = ids[: k + 1], more[g] or len(ids) > k + 1
+        raw = _matrix(table.column("dense").combine_chunks().take(pa.array(first)), dim)
+        x, stored, asked = _unit(raw), np.flatnonzero(kind & 1), np.flatnonzero(kind & 2)
+        out: list[tuple] = []
+        if len(stored) and len(asked):
+            tree, by = build_tree(x[stored], LEAF_ROWS)
+            # float32 products err by about 1e-6; the exact check below decides
+            top = search(tree, np.ascontiguousarray(x[stored[by]]), x[asked], k + 1, factor, least_cosine - 1e-5)
+            q, j = np.nonzero(top.row >= 0)
+            a, b = asked[q], stored[by[top.row[q, j]]]
+            u, v = raw[a].astype(np.float64), raw[b].astype(np.float64)
+            cosine = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
+            cosine[a == b] = 1.0
+            good = (cosine >= least_cosine) & ((a != b) | more[a] | (np.array([len(x) for x in lists])[a] > 1))
+            for g, o, c in zip(a[good].tolist(), b[good].tolist(), cosine[good].tolist()):
+                if more[g]:
+                    out += [(None, int(h1[first[g]]), int(h2[first[g]]), o_id, c) for o_id in lists[o]]
+                else:
+                    out += [(me, None, None, o_id, c) for me in lists[g] for o_id in lists[o] if me != o_id]
+        columns = list(zip(*out)) if out else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())
+        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("uid", "h1", "h2", "other", "cosine"), columns, kinds)})
+
+    asking = F.lit(True) if asks is None else asks(F.col("uid"))
+    routed = rows.withColumn("asks", asking).mapInArrow(route, "shard long, kind int, uids array<string>, more boolean, h1 long, h2 long, dense array<float>")
+    found = routed.groupBy("shard").applyInArrow(shard_search, "uid string, h1 long, h2 long, other string, cosine double")
+    # groups of more than k + 1 copies were answered once for all; their members are told here
+    shared = found.where("uid IS NULL").select("h1", "h2", "other", "cosine")
+    told = rows.select("uid", "h1", "h2").join(shared, ["h1", "h2"]).select("uid", "other", "cosine")
+    all_found = found.where("uid IS NOT NULL").select("uid", "other", "cosine").unionByName(told).where("uid <> other")
+    if asks is not None:
+        all_found = all_found.where(asks(F.col("uid")))
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
-    return wide.where("uid <> other").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("uid", "other", "cosine")
+    return all_found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("uid", "other", "cosine")
 
 
 def similar_pairs(vectors: DataFrame, uid: str, dense: str, dim: int = 64, least_cosine: float = 0.95, k: int = 10, factor: float = 0.3) -> DataFrame:

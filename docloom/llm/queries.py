@@ -32,9 +32,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every vector whose id hash is divisible by 100, against all vectors."""
-    vectors = table(spark, d, "section_vectors")
-    asking = vectors.select("stable_chunk_uid").where(F.pmod(F.xxhash64("stable_chunk_uid"), F.lit(100)) == 0)
-    near = neighbours.nearest_neighbours(vectors, "stable_chunk_uid", "dense", factor=neighbours.OPEN_FACTOR, queries=asking)
+    asks = lambda uid: F.pmod(F.xxhash64(uid), F.lit(100)) == 0
+    near = neighbours.nearest_neighbours(table(spark, d, "section_vectors"), "stable_chunk_uid", "dense", factor=neighbours.OPEN_FACTOR, asks=asks)
     return near.select("uid", "other", F.round("cosine", 6).alias("cosine"))
 
 
