@@ -21,9 +21,10 @@ STRENGTHS = ("none", "word", "line", "sentence", "block", "paragraph", "heading"
 _BOUNDARY = re.compile(
     r"(?P<paragraph>\n[^\S\n]*\n\s*(?=\S))"
     r"|(?P<line>\n)"
-    r"|(?P<sentence>[.!?…।؟]+[\"'”’»)\]]*\s+(?=\S)|[。！？]+[」』”’）]*[^\S\n]*(?=[^\s。！？]))"
+    r"|(?P<sentence>[.!?…।؟]+[\"'”’»)\]]*[^\S\n]+(?=\S)|[。！？]+[」』”’）]*[^\S\n]*(?=[^\s。！？]))"
     r"|(?P<word>[^\S\n]+(?=\S)|[、，；,;](?=[^\s\d]))"
 )
+_ENDED = re.compile(r"[.!?…।؟。！？][\"'”’»)\]」』）]*\s*$")
 _BLOCK_START = re.compile(r"[^\S\n]*(?:[-*+]\s|\d{1,9}[.)]\s|\||>|```|~~~)")
 _HEADING = re.compile(r" {0,3}#{1,6}\s")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})", re.M)
@@ -77,6 +78,8 @@ def _snap(text: str, target: int, lo: int, hi: int, fences: list[tuple[int, int]
         if kind in ("paragraph", "line") and not code:
             rest = text[at : at + 12]
             kind = "heading" if _HEADING.match(rest) else "block" if kind == "line" and _BLOCK_START.match(rest) else kind
+            if kind == "line" and _ENDED.search(text[max(0, at - 8) : at]):
+                kind = "sentence"
         elif code:
             kind = "line" if kind in ("paragraph", "line") else "word"
         best = max(best, (STRENGTHS.index(kind), -abs(at - target), -at))
