@@ -303,7 +303,7 @@ def nearest_neighbours(
                 if more[g]:
                     out += [(None, int(h1[first[g]]), int(h2[first[g]]), o_id, c) for o_id in lists[o]]
                 else:
-                    out += [(me, None, None, o_id, c) for me in lists[g] for o_id in lists[o] if me != o_id]
+                    out += [(me, int(h1[first[g]]), None, o_id, c) for me in lists[g] for o_id in lists[o] if me != o_id]
         columns = list(zip(*out)) if out else [()] * 5
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("uid", "h1", "h2", "other", "cosine"), columns, kinds)})
@@ -311,10 +311,10 @@ def nearest_neighbours(
     asking = F.lit(True) if asks is None else asks(F.col("uid"))
     routed = rows.withColumn("asks", asking).mapInArrow(route, "shard long, kind int, uids array<string>, more boolean, h1 long, h2 long, dense array<float>")
     found = routed.groupBy("shard").applyInArrow(shard_search, "uid string, h1 long, h2 long, other string, cosine double")
-    # groups of more than k + 1 copies were answered once for all; their members are told here
-    shared = found.where("uid IS NULL").select("h1", "h2", "other", "cosine")
-    told = rows.select("uid", "h1", "h2").join(shared, ["h1", "h2"]).select("uid", "other", "cosine")
-    all_found = found.where("uid IS NOT NULL").select("uid", "other", "cosine").unionByName(told).where("uid <> other")
+    # groups of more than k + 1 copies were answered once for all, without an id: their members are told here.
+    # The other rows have no h2, so they meet nobody, and their h1 keeps them spread
+    members = rows.select(F.col("uid").alias("member"), "h1", "h2")
+    all_found = found.join(members, ["h1", "h2"], "left").select(F.coalesce("uid", "member").alias("uid"), "other", "cosine").where("uid <> other")
     if asks is not None:
         all_found = all_found.where(asks(F.col("uid")))
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
