@@ -85,9 +85,10 @@ def change_events(intervals: DataFrame, snapshots: DataFrame, key: str = "sectio
     The first snapshot has nothing before it and gives no event.
     """
     first = snapshots.agg(F.min(snapshot).alias("lowest"))
-    started = intervals.join(F.broadcast(first), F.col("first_no") > F.col("lowest")).select(F.col("first_no").alias(snapshot), F.col("key").alias(key), F.col("opened_by").alias("change_kind"))
-    ended = intervals.where("gone_at IS NOT NULL").select(F.col("gone_at").alias(snapshot), F.col("key").alias(key), F.lit("removed").alias("change_kind"))
-    return started.unionByName(ended)
+    started = F.when(F.col("first_no") > F.col("lowest"), F.struct(F.col("first_no").alias("no"), F.col("opened_by").alias("kind")))
+    ended = F.when(F.col("gone_at").isNotNull(), F.struct(F.col("gone_at").alias("no"), F.lit("removed").alias("kind")))
+    events = intervals.join(F.broadcast(first), F.lit(True)).select("key", F.explode(F.array_compact(F.array(started, ended))).alias("e"))
+    return events.select(F.col("e.no").alias(snapshot), F.col("key").alias(key), F.col("e.kind").alias("change_kind"))
 
 
 def snapshot_changes(snapshots: DataFrame, **names) -> DataFrame:
