@@ -13,7 +13,7 @@ def change_queue(events: DataFrame, key: str, at: str, order: str, change: str)
 
 
 def quiet_sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
-    """(key, first, last, events) of bursts that end when nothing came for ``gap``: the debounce of a change queue."""
+    """(key, first, last, events) of bursts that end when nothing came for longer than ``gap``: the debounce of a change queue."""
     sessions = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, F.session_window(at, gap).alias("w"))
     return sessions.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("events")).drop("w")
 

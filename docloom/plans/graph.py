@@ -114,7 +114,7 @@ SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT
     "graph_cycles": f"WITH {_E} SELECT DISTINCT a.src AS a, a.dst AS b FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst",
     "graph_degrees": f"WITH {_E}, x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM x UNION ALL SELECT dst, 0, 1 FROM x) GROUP BY node",
     "change_queue": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_change, max(ts) AS changed_at, count(*) AS changes FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
-    "change_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    "change_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 k AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
 SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM k GROUP BY user_id, session""",
     "change_expiry": "SELECT user_id, max(ts) AS last, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AS idle FROM events WHERE user_id IS NOT NULL GROUP BY user_id",

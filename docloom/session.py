@@ -32,3 +32,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes from fewer files than the cluster has cores.
+
+    A file is one task where it has one row group, which leaves expensive maps
+    to a few cores on small inputs. Tables of many files stay as they are: no
+    shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(2 * cores) if 0 < files < cores else df
