@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import spread
+
 #: The word pattern of the vocabulary (a fixed value), with Unicode white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -250,5 +252,5 @@ def encode_corpus(documents: DataFrame, path: str | None = None, key: str = "doc
             ids = encoder.encode_lists(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["k", "ids"])
 
-    rows = documents.select(F.col(key).alias("k"), split_words(F.col(text)).alias("words"))
+    rows = spread(documents.select(key, text)).select(F.col(key).alias("k"), split_words(F.col(text)).alias("words"))
     return rows.mapInArrow(encode, f"k {dict(documents.dtypes)[key]}, ids array<int>").select(F.col("k").alias(key), "ids")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import spread
+
 PHRASE_WORDS, PHRASE_CHARS = 13, 26
 #: Languages whose items are compared letter by letter as well.
 UNSPACED = ("ja", "zh")
@@ -324,7 +326,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     full phrase have no case. Equal items under several ids are each reported.
     """
     spark, out = documents.sparkSession, None
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    rows = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
     for group in item_groups(items):
         shared = spark.sparkContext.broadcast(group)
         found = rows.mapInArrow(lambda batches, shared=shared: find_in_batches(batches, shared.value), SPANS)

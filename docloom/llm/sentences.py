@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docloom.session import spread
+
 SCHEMA = "doc_id {key}, sent_start int, sent_end int"
 
 #: Never end a sentence before another word, by language (fixed values).
@@ -402,4 +404,4 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             owner = b.column(0).take(pa.array(np.repeat(np.arange(len(units)), counts)))
             yield pa.RecordBatch.from_arrays([owner, pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc_id", "sent_start", "sent_end"])
 
-    return documents.select(key, text).mapInArrow(split, SCHEMA.format(key=dict(documents.dtypes)[key])).withColumnRenamed("doc_id", key)
+    return spread(documents.select(key, text)).mapInArrow(split, SCHEMA.format(key=dict(documents.dtypes)[key])).withColumnRenamed("doc_id", key)
