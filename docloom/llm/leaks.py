@@ -334,6 +334,67 @@ def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def word_offsets(text: str) -> list[tuple[int, int]] | None:
+    """(start, end) in ``text``, in code points, of every normalised word; None if they cannot be told apart.
+
+    Characters are normalised by grapheme cluster, so every normalised character
+    has a place in the text.
+    """
+    import regex
+
+    parts, places, at = [], [], 0
+    for cluster in regex.findall(r"\X", text):
+        piece = _format_characters().sub("", unicodedata.normalize("NFKC", cluster).lower())
+        parts.append(piece)
+        places += [(at, at + len(cluster))] * len(piece)
+        at += len(cluster)
+    joined = "".join(parts)
+    found = [m.span() for m in _TOKEN.finditer(joined)]
+    if [joined[a:b] for a, b in found] != normal_words(text):
+        return None
+    return [(places[a][0], places[b - 1][1]) for a, b in found]
+
+
+def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, span_start, span_end): what to cut out of each document, in code points of its text.
+
+    The spans of all items of a document are merged where they touch or overlap.
+    Only documents with a leak are read again. A text whose characters cannot be
+    placed is one span from its start to its end.
+    """
+    spans = leaked_spans(documents, items).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "span_start", "span_end")).alias("spans"))
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words = word_offsets(text)
+                if words is None:
+                    out.append((doc, 0, len(text)))
+                    continue
+                letters = np.repeat(np.arange(len(words)), [len(w) for w in normal_words(text)])
+                cut = []
+                for s in own:
+                    first, last = s["span_start"], s["span_end"] - 1
+                    if s["unit"] == "char":
+                        first, last = letters[first], letters[last]
+                    cut.append((words[first][0], words[last][1]))
+                cut.sort()
+                merged = [cut[0]]
+                for a, z in cut[1:]:
+                    if a <= merged[-1][1]:
+                        merged[-1] = (merged[-1][0], max(z, merged[-1][1]))
+                    else:
+                        merged.append((a, z))
+                out += [(doc, a, z) for a, z in merged]
+            if out:
+                d, a, z = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["doc_id", "span_start", "span_end"])
+
+    return texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(place, "doc_id long, span_start int, span_end int")
+
+
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): the documents that share a phrase with an item."""
     return leaked_spans(documents, items).select("doc_id", "item_id").distinct()

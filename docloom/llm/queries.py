@@ -49,11 +49,15 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_removals(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removals": p7_removals, "p8_found": p8_found}
 
 _TERMS = r"""WITH texts AS (SELECT section_id, max(text) AS v FROM sections WHERE section_id IS NOT NULL GROUP BY section_id),
 lists AS (SELECT section_id, max(identifiers) AS v FROM work_items WHERE section_id IS NOT NULL GROUP BY section_id),

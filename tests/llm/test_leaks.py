@@ -94,3 +94,14 @@ def test_spans_merge(spark):
     items = spark.createDataFrame([(5, "en", " ".join(words))], "item_id long, lang string, text string")
     got = sorted((r.span_start, r.span_end) for r in leaks.leaked_spans(docs, items).collect())
     assert got == [(2, 25), (26, 39)]
+
+
+def test_removal_spans_in_the_text(spark):
+    words = [f"w{i}" for i in range(20)]
+    leak = " ".join(w.upper() + ("\u200b" if i % 3 else " —") for i, w in enumerate(words[:15]))
+    ja = "".join(chr(0x4E00 + i) for i in range(40))
+    docs = spark.createDataFrame([(1, "Ünd ﬁrst " + leak + " tail"), (2, "前置き。" + ja[:15] + "、\n" + ja[15:33] + "後"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "en", " ".join(words)), (6, "ja", ja)], "item_id long, lang string, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: texts[r.doc_id][r.span_start : r.span_end] for r in leaks.removal_spans(docs, items).collect()}
+    assert got == {1: leak.rstrip(" —\u200b"), 2: ja[:15] + "、\n" + ja[15:33] + "後"}
