@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import markdown as M
 from docloom.operators import relations as L
 from docloom.plans.corpus import _SNAP, _snapshot
-from docloom.plans.text import _LINES
+from docloom.plans.text import _LINES, _collapse
 from docloom.sources.tables import table
 
 _C = F.col
@@ -82,7 +83,37 @@ def severity_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conflict_review_items").select("conflict_id", "status", score.alias("score")).distinct().groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (candidate_verdicts, relation_inheritance, dominant_channels, chapter_coverage, manifest_reconcile, manifest_states, embedding_reuse, review_batches, document_paragraphs, severity_scores)}
+def retained_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations that outlive the last snapshot: both ends are still there and neither has changed."""
+    rows = table(spark, d, "related_section_candidates").where("trim(source_section_id) <> '' AND trim(target_section_id) <> ''").select(_C("source_section_id").alias("src"), _C("target_section_id").alias("dst")).distinct()
+    states = L.reconcile(_snapshot(spark, d, 1), _snapshot(spark, d, 0), "section_id", "stable_section_uid", "source_hash", "semantic_hash")
+    steady = states.where("state IN ('unchanged', 'format_only')").select(_C("new_key").alias("key"))
+    return rows.join(steady.withColumnRenamed("key", "src"), "src", "left_semi").join(steady.withColumnRenamed("key", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def section_id_sets(spark: SparkSession, d: str) -> DataFrame:
+    """How many ids occur in which of the three section tables."""
+    ids = lambda name, c: table(spark, d, name).where(_C(c).isNotNull()).select(_C(c).alias("id"), F.lit(name).alias("name")).distinct()
+    rows = ids("sections", "section_id").unionByName(ids("section_vectors", "source_section_id")).unionByName(ids("work_items", "section_id"))
+    return rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), "+").alias("tables")).groupBy("tables").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """A vector of eight numbers in [0, 1] per document: the bytes of the text's hash."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    byte = lambda i: F.round(F.conv(F.substring(digest, 1 + 2 * i, 2), 16, 10).cast("double") / 255, 6)
+    return table(spark, d, "documents").select("doc_id", F.array(*[byte(i) for i in range(8)]).alias("x"))
+
+
+def snippet_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """How often each evidence snippet occurs in the text of the candidate's source section, white space aside."""
+    rows = table(spark, d, "related_section_candidates").select("candidate_id", "source_section_id", F.explode("evidence_snippets").alias("snippet")).where("trim(snippet) <> '' AND source_section_id IS NOT NULL").distinct()
+    texts = table(spark, d, "sections").where("section_id IS NOT NULL AND text IS NOT NULL").select(_C("section_id").alias("source_section_id"), "text").distinct()
+    n = T.occurrences(T.collapse(_C("text")), T.collapse(_C("snippet")))
+    return rows.join(texts, "source_section_id").select("candidate_id", "snippet", n.alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (candidate_verdicts, relation_inheritance, dominant_channels, chapter_coverage, manifest_reconcile, manifest_states, embedding_reuse, review_batches, document_paragraphs, severity_scores, retained_relations, section_id_sets, hash_embeddings, snippet_occurrences)}
 
 _REC = f"""{_SNAP}, j AS (SELECT a.section_id AS old_key, b.section_id AS new_key, coalesce(a.stable_section_uid, b.stable_section_uid) AS uid,
 CASE WHEN coalesce(a.semantic_hash <> b.semantic_hash, false) THEN 'changed' WHEN coalesce(a.source_hash <> b.source_hash, false) THEN 'format_only' ELSE 'unchanged' END AS st FROM a FULL JOIN b ON a.section_id = b.section_id),
@@ -111,4 +142,12 @@ p AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY doc_id ORDER BY line
 SELECT doc_id, paragraph, min(line_no) AS first_line, max(line_no) AS last_line FROM p WHERE NOT blank GROUP BY 1, 2""",
     "severity_scores": """WITH r AS (SELECT DISTINCT conflict_id, status, CAST(CASE lower(trim(severity, ' ')) WHEN 'low' THEN 0.25 WHEN 'medium' THEN 0.6 WHEN 'high' THEN 0.9 ELSE coalesce(try_cast(severity AS DOUBLE), 0.6) END AS DOUBLE) AS score FROM conflict_review_items)
 SELECT status, count(*) AS n, round(avg(score), 6) AS mean_score FROM r GROUP BY status""",
+    "retained_relations": f"""{_REC}, k AS (SELECT new_key FROM rec WHERE state IN ('unchanged', 'format_only'))
+SELECT DISTINCT source_section_id AS src, target_section_id AS dst FROM related_section_candidates WHERE trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> '' AND source_section_id IN (SELECT new_key FROM k) AND target_section_id IN (SELECT new_key FROM k)""",
+    "section_id_sets": """WITH r AS (SELECT section_id AS id, 'sections' AS name FROM sections UNION SELECT source_section_id, 'section_vectors' FROM section_vectors UNION SELECT section_id, 'work_items' FROM work_items),
+g AS (SELECT id, string_agg(name, '+' ORDER BY name) AS tables FROM r WHERE id IS NOT NULL GROUP BY id) SELECT tables, count(*) AS n FROM g GROUP BY tables""",
+    "hash_embeddings": "SELECT doc_id, list_transform(range(0, 8), lambda i: round(CAST(CAST('0x' || substring(sha256(coalesce(text, '')), 1 + 2 * i, 2) AS BIGINT) AS DOUBLE) / 255, 6)) AS x FROM documents",
+    "snippet_occurrences": f"""WITH r AS (SELECT DISTINCT candidate_id, source_section_id, snippet FROM (SELECT candidate_id, source_section_id, unnest(evidence_snippets) AS snippet FROM related_section_candidates) WHERE trim(snippet, ' ') <> ''),
+t AS (SELECT DISTINCT section_id, {_collapse('text')} AS x FROM sections WHERE text IS NOT NULL)
+SELECT candidate_id, snippet, CAST(CASE WHEN length(s) > 0 THEN (length(x) - length(replace(x, s, ''))) // length(s) ELSE 0 END AS INTEGER) AS n FROM (SELECT r.*, {_collapse('r.snippet')} AS s, x FROM r JOIN t ON section_id = source_section_id)""",
 }
