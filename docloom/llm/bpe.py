@@ -86,6 +86,7 @@ class Encoder:
             self.keys[slots], self.values[slots] = vocabulary.pairs[put], vocabulary.merged[put]
             todo, step = np.setdiff1d(todo, put, assume_unique=True), step + 1
         self.probes = step
+        self.vocabulary, self.merge_of = vocabulary, None
         self.forget()
 
     @staticmethod
@@ -151,6 +152,9 @@ class Encoder:
 
     def _heap(self, word: bytes) -> np.ndarray:
         """Ids of a long word: the same smallest-rank-first merges, leftmost among equals."""
+        if self.merge_of is None:
+            self.merge_of = dict(zip(self.vocabulary.pairs.tolist(), self.vocabulary.merged.tolist()))
+        merge_of = self.merge_of
         parts = self.byte_id[np.frombuffer(word, dtype=np.uint8)].tolist()
         size = len(parts)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -161,8 +165,8 @@ class Encoder:
         def offer(i: int) -> None:
             if i >= 0 and after[i] < size:
                 a, b = parts[i], parts[after[i]]
-                r = int(self.ranks(np.array([a]), np.array([b]))[0])
-                if r != NONE:
+                r = merge_of.get(a << 32 | b)
+                if r is not None:
                     heapq.heappush(heap, (r, i, a, b))
 
         while heap:

@@ -54,13 +54,14 @@ def _inside(spans: list[tuple[int, int]], at: int) -> bool:
 
 
 def _extends(ch: str) -> bool:
-    return unicodedata.category(ch) in ("Mn", "Mc", "Me") or ch in "‍️" or "\U0001f3fb" <= ch <= "\U0001f3ff"
+    """Marks, joiners, variation selectors and skin tones belong to the character before them."""
+    return unicodedata.category(ch) in ("Mn", "Mc", "Me") or ch in "\u200d\ufe0f" or "\U0001f3fb" <= ch <= "\U0001f3ff"
 
 
 def _whole(text: str, at: int, least: int) -> int:
     """``at`` or the nearest offset before it that does not tear a character from its marks."""
     k = at
-    while k > least and k < len(text) and (_extends(text[k]) or text[k - 1] == "‍"):
+    while k > least and k < len(text) and (_extends(text[k]) or text[k - 1] == "\u200d"):
         k -= 1
     return k if k > least else at
 

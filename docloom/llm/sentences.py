@@ -73,7 +73,7 @@ OPENERS = {"“": "”", "„": "“”", "‟": "”", "«": "»", "‹": "›"
 BRACKETS = "([（【"
 CLOSERS = frozenset("”’»›」』》〉)）]】\"＂'}“")
 CONTINUES = frozenset(",，、;；:：—–‐-،؛・…")
-_NBSP = "   "
+_NBSP = "\u00a0\u2007\u2009\u202f"
 
 _MARKER = re.compile(r"[ \t]*(?:[-*+]|(\d{1,9})[.)])(?:[ \t]+|$)")
 _QUOTE = re.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
@@ -82,7 +82,7 @@ _ATX = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
 _SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 _BREAK = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _LINE = re.compile(r"\r\n|\n|\r")
-_TOKEN = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*[̀-ͯ]*(?:[^\W\d_]|[̀-ͯ]|[.](?=[^\W\d_]))*$")
+_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f]|[.](?=[^\W\d_]))*$")
 _INTEGER = re.compile(r"(?:^|[\s(])(\w+)?\s*(?<![\d.,])\b(\d{1,2})$")
 _WORD = re.compile(r"[^\W\d_]+")
 _SOLID = re.compile(r"\S*$")
@@ -99,7 +99,8 @@ def _end_marks() -> tuple[re.Pattern, frozenset, frozenset]:
     every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF)
     sterm, aterm = regex.findall(r"\p{Sentence_Break=STerm}", every), regex.findall(r"\p{Sentence_Break=ATerm}", every)
     marks = "".join(map(re.escape, (*sterm, *(a for a in aterm if a != "."))))
-    return re.compile(rf"(?:[{marks}…]|\.(?![a-z0-9_]))[{marks}….]*|(?<=[฀-๿])[  　]+(?=[฀-๿])"), frozenset(sterm), frozenset(aterm)
+    thai = "(?<=[\u0e00-\u0e7f])[ \u00a0\u3000]+(?=[\u0e00-\u0e7f])"
+    return re.compile(rf"(?:[{marks}…]|\.(?![a-z0-9_]))[{marks}….]*|{thai}"), frozenset(sterm), frozenset(aterm)
 
 
 def _unspaced(ch: str) -> bool:
@@ -116,7 +117,7 @@ def _next(w: str, k: int) -> tuple[int, str]:
 
 def _goes_on_with(w: str, at: int) -> bool:
     """A lower-case word at ``at`` that continues a sentence rather than beginning one."""
-    m = _WORD.match(w, at)
+    m = _WORD.match(w, at, at + 40)
     return bool(m) and m.group().lower() in _GO_ON and not (m.end() < len(w) and w[m.end()] in "._" and m.end() + 1 < len(w) and w[m.end() + 1].isalnum())
 
 
@@ -182,7 +183,7 @@ def _full_stop_ends(w: str, i: int, k: int, at: int, ch: str) -> bool:
             return True
         if not (ch.isupper() or ch in "“„«(¿¡`"):
             return False
-        solid, on = _SOLID.search(w[max(0, i - 80) : i]).group(), _SOLID_ON.match(w, k).group()
+        solid, on = _SOLID.search(w[max(0, i - 80) : i]).group(), _SOLID_ON.match(w, k, k + 80).group()
         if any(c in solid or c in on for c in ("://", "@", "\\", "/")) or "`" in solid and solid.count("`") % 2:
             return False
         if len(solid) < 2 or not (solid[-1].islower() or solid[-1].isdigit() or solid[-1] in ")”»`" or _unspaced(solid[-1])):
@@ -194,7 +195,7 @@ def _full_stop_ends(w: str, i: int, k: int, at: int, ch: str) -> bool:
         if i and w[i - 1].isdigit():
             n = _INTEGER.search(back)
             if n:
-                word = _WORD.match(w, at)
+                word = _WORD.match(w, at, at + 40)
                 if word and (word.group().lower() in MONTHS or ((n.group(1) or "").lower() in ORDINAL_BEFORE)):
                     return False
         return True
@@ -367,7 +368,7 @@ def sentence_units(text: str) -> list[tuple[int, int]]:
                 if k and k.group(1):
                     n = int(k.group(1))
                     inside = r.begin >= 0
-                    word = _WORD.match(line, k.end())
+                    word = _WORD.match(line, k.end(), k.end() + 40)
                     # a wrapped line may begin with a number: inside a paragraph only the next number of the list, or 1, is a marker
                     if inside and (n != (abs(number) + 1 if number is not None else 1) or (word and word.group().lower() in MONTHS)):
                         k = None
