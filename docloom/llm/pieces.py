@@ -2,7 +2,8 @@
 
 Balanced targets: the fewest pieces that can hold the text are counted, their
 ends are spread evenly, and each end moves to the strongest boundary nearby. If
-an end finds no boundary or a piece breaks the limit, one more piece is tried.
+an end finds no natural boundary (a line's end at least) or a piece breaks the
+limit, one more piece is tried; the best of the tries counts.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Strengths of the boundaries, weakest first. A cut lies before the character at its offset.
-STRENGTHS = ("none", "word", "line", "sentence", "block", "paragraph", "heading")
+STRENGTHS = ("none", "word", "clause", "line", "sentence", "block", "paragraph", "heading")
 _BOUNDARY = re.compile(
     r"(?P<paragraph>\n[^\S\n]*\n\s*(?=\S))"
     r"|(?P<line>\n)"
     r"|(?P<sentence>[.!?…।؟]+[\"'”’»)\]]*[^\S\n]+(?=\S)|[。！？]+[」』”’）]*[^\S\n]*(?=[^\s。！？]))"
-    r"|(?P<word>[^\S\n]+(?=\S)|[、，；,;](?=[^\s\d]))"
+    r"|(?P<clause>[,;:][^\S\n]+(?=\S)|[、，；：](?=\S))"
+    r"|(?P<word>[^\S\n]+(?=\S))"
 )
 _ENDED = re.compile(r"[.!?…।؟。！？][\"'”’»)\]」』）]*\s*$")
 _BLOCK_START = re.compile(r"[^\S\n]*(?:[-*+]\s|\d{1,9}[.)]\s|\||>|```|~~~)")
@@ -30,8 +32,8 @@ _HEADING = re.compile(r" {0,3}#{1,6}\s")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})", re.M)
 _HEADING_LINE = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$", re.M)
 
-#: Further pieces tried before a cut without a boundary is accepted.
-EXTRA_PIECES = 4
+#: The weakest boundary a cut may have while more pieces can be tried, and how many more are.
+NATURAL, EXTRA_PIECES = STRENGTHS.index("line"), 4
 
 SCHEMA = "section_id string, heading_path array<string>, piece_no int, n_pieces int, start_offset int, end_offset int, boundary string, inner_headings array<string>, piece string"
 
@@ -122,7 +124,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
                 pieces.append((start, size, "end"))
                 if best is None or weakest > best[0]:
                     best = (weakest, pieces)
-                if weakest:
+                if weakest >= NATURAL:
                     break
     if best:
         return best[1]
