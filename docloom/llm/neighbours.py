@@ -33,7 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors a shard holds at most and, to keep all cores busy, at least; sampled vectors per routing leaf.
-SHARD_ROWS, LEAST_SHARD_ROWS = 200_000, 10_000
+SHARD_ROWS, LEAST_SHARD_ROWS = 100_000, 10_000
+#: Visitors one search task takes, as a multiple of the vectors its shard holds.
+VISITORS = 4
 SAMPLE_PER_LEAF = 256
 LEAF_ROWS = 512
 #: Rounding of float32 angles near zero, in radians.
@@ -69,6 +71,7 @@ class Node:
     near: Node | None = None
     far: Node | None = None
     shard: int = 0
+    salts: int = 1
 
 
 def build_tree(x: np.ndarray, leaf_rows: int, seed: int = 7) -> tuple[Node, np.ndarray]:
@@ -196,13 +199,16 @@ def usable(vectors: DataFrame, uid: str, dense: str, dim: int) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("dense")).withColumn("h2", F.xxhash64(F.lit(1), "dense"))
 
 
-def routing_tree(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> Node:
-    """A tree with a leaf per shard, fitted on a bounded sample.
+def routing_tree(rows: DataFrame, dim: int, radius: float, factor: float, shard_rows: int = SHARD_ROWS) -> Node:
+    """A tree with a leaf per shard, fitted on a bounded sample of (uid, dense, asks).
 
     Shards hold up to ``shard_rows`` vectors, fewer while there are not yet as
     many shards as the cluster has cores. The sample has ``SAMPLE_PER_LEAF``
     vectors per leaf (4,096 at least), a fixed choice by hash; the tree that
-    travels to the tasks is one vector per leaf.
+    travels to the tasks is one vector per leaf. The sample also tells how many
+    visitors a shard will have: one with more than ``VISITORS`` times its own
+    vectors is searched by several tasks, each with a copy of the vectors and a
+    part of the visitors.
     """
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     shards = 1
@@ -212,11 +218,14 @@ def routing_tree(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> Nod
         return Node(0, 0)
     want = max(4096, shards * SAMPLE_PER_LEAF)
     share = int(min(1.0, 1.2 * want / n) * 1_000_000) + 1
-    taken = rows.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < share).select("dense").limit(2 * want).toArrow()
-    x = _unit(_matrix(taken.column("dense").combine_chunks(), dim))
+    taken = rows.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < share).select("dense", "asks").limit(2 * want).toArrow()
+    x, asking = _unit(_matrix(taken.column("dense").combine_chunks(), dim)), np.asarray(taken.column("asks").to_numpy(), dtype=bool)
     root, _ = build_tree(x, max(1, -(-len(x) // shards)))
     for i, leaf in enumerate(leaves(root)):
         leaf.shard = i
+    stored = np.bincount(home_leaf(root, x), minlength=shards)
+    for leaf, visiting in visited(root, x[asking], radius, factor):
+        leaf.salts = max(1, -(-len(visiting) // (VISITORS * max(1, int(stored[leaf.shard])))))
     return root
 
 
@@ -233,7 +242,7 @@ def nearest_neighbours(
     dense: str,
     dim: int = 64,
     k: int = 10,
-    factor: float = 0.3,
+    factor: float = 0.25,
     least_cosine: float = -1.0,
     asks: Callable[[Column], Column] | None = None,
     shard_rows: int = SHARD_ROWS,
@@ -246,9 +255,11 @@ def nearest_neighbours(
     without usable parts neither asks nor is found; repeated rows count once.
     Empty tables give no rows.
     """
-    rows = usable(vectors, uid, dense, dim)
-    root = routing_tree(rows, dim, shard_rows)
+    asking = F.lit(True) if asks is None else asks(F.col("uid"))
+    rows = usable(vectors, uid, dense, dim).withColumn("asks", asking)
     radius = float(np.arccos(np.clip(least_cosine, -1, 1)))
+    root = routing_tree(rows, dim, radius, factor, shard_rows)
+    salts = np.array([leaf.salts for leaf in leaves(root)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,11 +275,16 @@ def nearest_neighbours(
                 ids = sorted(set(names[order[starts[g] : starts[g + 1] if g + 1 < len(starts) else None]]))
                 lists[g], many[g] = ids[: k + 1], len(ids) > k + 1
             x = _unit(_matrix(b.column(1).take(pa.array(first)), dim))
-            home, asked = home_leaf(root, x), np.flatnonzero(ask)
-            parts = [(np.arange(len(first)), home, 1 + 2 * ask)]
+            home, asked, every = home_leaf(root, x), np.flatnonzero(ask), np.arange(len(first))
+            # a vector is stored with every task of its shard, and asks one of them
+            mine = np.abs(h1[first]) % salts[home]
+            parts = []
+            for salt in range(int(salts[home].max())):
+                r = every[salts[home] > salt]
+                parts.append((r, home[r] << 16 | salt, 1 + 2 * (ask[r] & (mine[r] == salt))))
             for leaf, r in visited(root, x[asked], radius, factor):
                 r = asked[r][home[asked[r]] != leaf.shard]
-                parts.append((r, np.full(len(r), leaf.shard), np.full(len(r), 2)))
+                parts.append((r, leaf.shard << 16 | np.abs(h1[first[r]]) % leaf.salts, np.full(len(r), 2)))
             take, shard, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
             at = pa.array(first[take])
             yield pa.RecordBatch.from_arrays(
@@ -308,8 +324,7 @@ def nearest_neighbours(
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("uid", "h1", "h2", "other", "cosine"), columns, kinds)})
 
-    asking = F.lit(True) if asks is None else asks(F.col("uid"))
-    routed = rows.withColumn("asks", asking).mapInArrow(route, "shard long, kind int, uids array<string>, more boolean, h1 long, h2 long, dense array<float>")
+    routed = rows.select("uid", "dense", "h1", "h2", "asks").mapInArrow(route, "shard long, kind int, uids array<string>, more boolean, h1 long, h2 long, dense array<float>")
     found = routed.groupBy("shard").applyInArrow(shard_search, "uid string, h1 long, h2 long, other string, cosine double")
     # groups of more than k + 1 copies were answered once for all, without an id: their members are told here.
     # The other rows have no h2, so they meet nobody, and their h1 keeps them spread
@@ -321,7 +336,7 @@ def nearest_neighbours(
     return all_found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("uid", "other", "cosine")
 
 
-def similar_pairs(vectors: DataFrame, uid: str, dense: str, dim: int = 64, least_cosine: float = 0.95, k: int = 10, factor: float = 0.3) -> DataFrame:
+def similar_pairs(vectors: DataFrame, uid: str, dense: str, dim: int = 64, least_cosine: float = 0.95, k: int = 10, factor: float = 0.25) -> DataFrame:
     """(uid_a, uid_b) with uid_a < uid_b whose cosine reaches ``least_cosine``, each among the k nearest of the other."""
     near = nearest_neighbours(vectors, uid, dense, dim, k, factor, least_cosine)
     return near.select(F.least("uid", "other").alias("uid_a"), F.greatest("uid", "other").alias("uid_b")).distinct()

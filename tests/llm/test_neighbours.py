@@ -67,6 +67,14 @@ def test_dirty_vectors_copies_and_asking(spark):
     assert sorted(r.other for r in some) == ["c00", "c01", "c02"] and {r.uid for r in some} == {"c19"}
 
 
+def test_busy_shards_are_searched_by_several_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_SHARD_ROWS", 100)
+    monkeypatch.setattr(neighbours, "VISITORS", 1)
+    got = neighbours.nearest_neighbours(table(spark, rows).repartition(3), "uid", "dense", 8, k=5, factor=1.0, least_cosine=0.8).collect()
+    want = {(u, o) for u, near in brute(rows, 5, 0.8).items() for o, _ in near}
+    assert {(r.uid, r.other) for r in got} == want and len(got) == len(want)
+
+
 def test_empty_table_and_pairs(spark):
     assert neighbours.nearest_neighbours(table(spark, []), "uid", "dense", 8).count() == 0
     pairs = neighbours.similar_pairs(table(spark, [("b", [1] * 8), ("a", [1] * 7 + [1.1]), ("c", [-1] * 8)]), "uid", "dense", 8).collect()
