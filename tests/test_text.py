@@ -69,7 +69,7 @@ def test_scores(spark):
     assert [tuple(x) for x in one(spark, sparse)] == [(3, 3.0)]
 
 
-MD = "intro\n# Top\nbody `x`\n\n```\n# code\n```\n## Sub ##\r\ntext\nUnder\n-----\nmore\n##### deep\n# Next\n"
+MD = "intro\n# Top\nbody `x`\n\n```\n# code\n```\n## Sub ##\r\ntext\n\nUnder\n-----\nmore\n##### deep\n# Next\n"
 
 
 def test_markdown_sections(spark):
