@@ -97,6 +97,20 @@ def sections(documents: DataFrame, key: str = "doc_id", text: str = "text", max_
     )
 
 
+def structure_hashes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lines, structure_hash): equal for documents that differ in the white space of their prose only.
+
+    Prose lines are collapsed and blank ones dropped; fenced code counts as it is.
+    """
+    marked = document_lines(documents, key, text)
+    w = Window.partitionBy(key).orderBy("line_no")
+    fence = F.col("line").rlike(_FENCE)
+    in_code = (F.count(F.when(fence, 1)).over(w) % 2 == 1) | fence
+    rows = marked.select(key, "line_no", F.when(in_code, F.concat(F.lit("code:"), F.col("line"))).otherwise(T.collapse(F.col("line"))).alias("part")).where("part <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda s: s["part"]), "\n")
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), F.sha2(joined, 256).alias("structure_hash"))
+
+
 def links(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, label, target) of inline links, images left out."""
     pattern = r'(?:^|[^!])\[([^\]\n]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'

@@ -107,7 +107,16 @@ _E = "e AS (SELECT source_section_id AS src, target_section_id AS dst FROM relat
 _U = f"{_E}, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)"
 _S = "s AS (SELECT DISTINCT section_id, source_document_id, source_span.start_line AS start_line, text FROM sections WHERE section_id IS NOT NULL)"
 
+_X = "x AS (SELECT source_section_id AS src, target_section_id AS dst, coalesce(candidate_score, 1.0) AS w FROM related_section_candidates WHERE (list_contains(channels, 'markdown_link') OR list_contains(channels, 'shared_identifier')) AND trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> '')"
+_COMPONENTS = f"""WITH RECURSIVE {_X}, u AS (SELECT src, dst FROM x UNION SELECT dst, src FROM x),
+walk AS (SELECT src AS node, src AS label FROM u UNION SELECT u.dst, walk.label FROM walk JOIN u ON u.src = walk.node WHERE walk.label < u.dst), c AS (SELECT node, min(label) AS component FROM walk GROUP BY node)"""
+_ROUND = """v{n} AS (SELECT u.src, l.label, round(sum(u.w), 6) AS votes FROM u JOIN l{m} l ON u.dst = l.node GROUP BY ALL),
+l{n} AS (SELECT src AS node, label FROM (SELECT v.src, v.label, row_number() OVER (PARTITION BY v.src ORDER BY votes DESC, CAST(v.label = mine.label AS INTEGER) DESC, v.label) AS place FROM v{n} v JOIN l{m} mine ON mine.node = v.src) WHERE place = 1)"""
+
 SQL = {
+    "graph_component_sizes": f"{_COMPONENTS} SELECT component, count(*) AS nodes FROM c GROUP BY component",
+    "graph_labels": f"""WITH {_X}, u AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM x WHERE src <> dst UNION ALL SELECT dst, src, w FROM x WHERE src <> dst) GROUP BY src, dst),
+l0 AS (SELECT DISTINCT src AS node, src AS label FROM u), {", ".join(_ROUND.format(n=n, m=n - 1) for n in range(1, 5))} SELECT node, label FROM l4""",
     "graph_bfs": f"""WITH {_U}, h0 AS (SELECT DISTINCT section_pair.left_section_id AS node FROM conflict_review_items WHERE trim(section_pair.left_section_id, ' ') <> ''),
 h1 AS (SELECT DISTINCT dst AS node FROM h0 JOIN u ON node = src WHERE dst NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT dst AS node FROM h1 JOIN u ON node = src WHERE dst NOT IN (SELECT node FROM h0) AND dst NOT IN (SELECT node FROM h1))
 SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""",
@@ -129,7 +138,5 @@ SELECT * FROM m WHERE required_in IS NOT NULL AND prohibited_in IS NOT NULL""",
     "numeric_bounds": f"""WITH {_S}, b AS (SELECT source_document_id, min(list_min(list_transform(regexp_extract_all(text, 'not exceed ([0-9]{{1,9}})', 1), lambda e: CAST(e AS BIGINT)))) AS lowest_limit,
 max(list_max(list_transform(regexp_extract_all(text, 'wait ([0-9]{{1,9}})', 1), lambda e: CAST(e AS BIGINT)))) AS highest_wait FROM s WHERE source_document_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)
 SELECT *, highest_wait > lowest_limit AS conflict FROM b WHERE lowest_limit IS NOT NULL AND highest_wait IS NOT NULL""",
-    "graph_components": """WITH RECURSIVE e AS (SELECT source_section_id AS src, target_section_id AS dst FROM related_section_candidates WHERE (list_contains(channels, 'markdown_link') OR list_contains(channels, 'shared_identifier')) AND trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> ''),
-u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), walk AS (SELECT src AS node, src AS label FROM u UNION SELECT u.dst, walk.label FROM walk JOIN u ON u.src = walk.node WHERE walk.label < u.dst)
-SELECT node, min(label) AS component FROM walk GROUP BY node""",
+    "graph_components": f"{_COMPONENTS} SELECT node, component FROM c",
 }

@@ -115,13 +115,17 @@ def markdown_chapters(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id", "chapter").agg(F.count(F.lit(1)).alias("sections"), F.min("ordinal").alias("first"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "section_id"))), lambda s: s["section_id"]), "\n"), 256).alias("members_hash"))
 
 
+def document_structure(spark: SparkSession, d: str) -> DataFrame:
+    return M.structure_hashes(table(spark, d, "documents"))
+
+
 def document_links(spark: SparkSession, d: str) -> DataFrame:
     return M.links(table(spark, d, "documents"), "doc_id", "text")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (section_hashes, semantic_copies, section_summary, section_identifiers, section_search_keys, evidence_specific_terms, section_embedding_text, section_tokens, section_char_grams, identifier_parts, section_point_ids, evidence_grounding, section_sparse, section_dense, vector_sparse_normal, document_lines, markdown_sections, markdown_chapters, document_links)
+    for f in (section_hashes, semantic_copies, section_summary, section_identifiers, section_search_keys, evidence_specific_terms, section_embedding_text, section_tokens, section_char_grams, identifier_parts, section_point_ids, evidence_grounding, section_sparse, section_dense, vector_sparse_normal, document_lines, markdown_sections, markdown_chapters, document_structure, document_links)
 }
 
 _WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
@@ -203,6 +207,11 @@ SELECT stable_chunk_uid, token_id, round(sum(CAST(w AS DOUBLE)), 6) AS weight FR
     "markdown_sections": f"WITH {_MD} SELECT doc_id, ordinal, level, heading, heading_path, start_line, end_line, source_hash, semantic_hash, coalesce(root_id, section_id0) AS section_id, stable_section_uid FROM done",
     "markdown_chapters": f"""WITH {_MD}, c AS (SELECT doc_id, CASE WHEN len(heading_path) > 0 THEN {_slug('heading_path[1]')} ELSE 'document' END AS chapter, ordinal, coalesce(root_id, section_id0) AS section_id FROM done)
 SELECT doc_id, chapter, count(*) AS sections, min(ordinal) AS first, sha256(string_agg(section_id, chr(10) ORDER BY ordinal)) AS members_hash FROM c GROUP BY ALL""",
+    "section_point_ids": """WITH h AS (SELECT section_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(section_id)) AS x FROM (SELECT DISTINCT section_id FROM sections WHERE section_id IS NOT NULL))
+SELECT section_id, concat_ws('-', substring(x, 1, 8), substring(x, 9, 4), '5' || substring(x, 14, 3), substring('89ab', CAST(CAST('0x' || substring(x, 17, 1) AS INTEGER) % 4 + 1 AS BIGINT), 1) || substring(x, 18, 3), substring(x, 21, 12)) AS point_id FROM h""",
+    "document_structure": f"""WITH {_LINES}, f AS (SELECT *, (count(*) FILTER (regexp_matches(line, '{M._FENCE}')) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 1 OR regexp_matches(line, '{M._FENCE}') AS in_code FROM lines),
+p AS (SELECT doc_id, line_no, CASE WHEN in_code THEN 'code:' || line ELSE {_collapse('line')} END AS part FROM f)
+SELECT doc_id, count(*) AS lines, sha256(string_agg(part, chr(10) ORDER BY line_no)) AS structure_hash FROM p WHERE part <> '' GROUP BY doc_id""",
     "document_links": r"""SELECT doc_id, position - 1 AS position, label, target FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^!])\[([^\]\n]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)', 1)) AS label, unnest(regexp_extract_all(text, '(?:^|[^!])\[([^\]\n]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)', 2)) AS target,
   generate_subscripts(regexp_extract_all(text, '(?:^|[^!])\[([^\]\n]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)', 1), 1) AS position FROM documents)""",

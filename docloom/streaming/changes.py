@@ -42,9 +42,9 @@ def windowed_changes(events: DataFrame, at: str, kind: str, width: str = "1 day"
 def latest_by_key(stream: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """The last row per key of a stream, by merging every micro-batch into a versioned table.
 
-    A batch writes the next version under its own number and is skipped if that
-    version is there, so a repeated batch changes nothing; the reader takes the
-    version of the last batch that ended.
+    A batch merges with the version of the batch before it and writes, or
+    overwrites, the version of its own number, so a repeated batch changes
+    nothing. The reader takes the version of the last batch that ended.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
@@ -52,8 +52,8 @@ def latest_by_key(stream: DataFrame, key: str, order: list[str], name: str) -> D
 
     def merge(batch: DataFrame, number: int) -> None:
         last = batch.where(F.col(key).isNotNull())
-        if "version" in done:
-            last = last.unionByName(spark.read.parquet(f"{folder}/v{done['version']}"))
+        if number:
+            last = last.unionByName(spark.read.parquet(f"{folder}/v{number - 1}"))
         columns = [c for c in batch.columns if c != key]
         newest = last.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(key, "r.*").select(*batch.columns)
         newest.write.mode("overwrite").parquet(f"{folder}/v{number}")
