@@ -72,9 +72,19 @@ def event_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Closed daily windows of the event stream; windows the watermark has not passed are not out yet."""
-    events = X.stream_table(spark, d, "events").withColumn("ts", _C("ts").cast("timestamp"))
-    return X.drain(X.windowed_changes(events, "ts", "event_type"), "windows").withColumn("start", _C("start").cast("timestamp_ntz"))
+    """Daily windows of the event stream that ended two days before its last event or earlier, late rows included."""
+    windows = _windows(spark, d)
+    last = windows.agg(F.max("last").alias("newest"))
+    return windows.join(F.broadcast(last), F.expr("start + INTERVAL 1 DAY <= newest - INTERVAL 2 DAYS")).select("start", "event_type", "n", "total")
+
+
+def stream_windows_all(spark: SparkSession, d: str) -> DataFrame:
+    """All daily windows of the event stream, the last ones too."""
+    return _windows(spark, d).select("start", "event_type", "n", "total")
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return X.whole_windows(X.stream_table(spark, d, "events"), "ts", "event_type", "windows").withColumns({c: _C(c).cast("timestamp_ntz") for c in ("start", "last")})
 
 
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +110,7 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_bfs, graph_components, graph_component_sizes, graph_labels, graph_cycles, graph_degrees, change_queue, change_sessions, change_expiry, label_accumulation, event_transitions, stream_windows, stream_latest, modal_conflicts, numeric_bounds, section_chunks)
+    for f in (graph_bfs, graph_components, graph_component_sizes, graph_labels, graph_cycles, graph_degrees, change_queue, change_sessions, change_expiry, label_accumulation, event_transitions, stream_windows, stream_windows_all, stream_latest, modal_conflicts, numeric_bounds, section_chunks)
 }
 
 _E = "e AS (SELECT source_section_id AS src, target_section_id AS dst FROM related_section_candidates WHERE trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> '')"
@@ -131,6 +141,7 @@ SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM k GRO
     "event_transitions": "SELECT from_state, to_state, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events WHERE user_id IS NOT NULL) WHERE from_state IS NOT NULL AND to_state IS NOT NULL GROUP BY ALL",
     "stream_windows": """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
 HAVING time_bucket(INTERVAL 1 DAY, max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
+    "stream_windows_all": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "stream_latest": "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "modal_conflicts": f"""WITH {_S}, m AS (SELECT source_document_id, arg_min(section_id, (start_line, section_id)) FILTER (regexp_matches(regexp_replace(text, '{R._NEGATED}', ' ', 'g'), '{R.REQUIRED}')) AS required_in,
 arg_min(section_id, (start_line, section_id)) FILTER (regexp_matches(text, '{R.PROHIBITED}')) AS prohibited_in FROM s WHERE source_document_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)

@@ -35,10 +35,42 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def windowed_changes(events: DataFrame, at: str, kind: str, width: str = "1 day", lateness: str = "2 days") -> DataFrame:
-    """(start, kind, n, total) per closed window; events later than ``lateness`` are left to a later correction run."""
+    """(start, kind, n, total) per window the watermark has closed, for streams without end.
+
+    Open windows are not out yet, and events more than ``lateness`` behind an
+    earlier micro-batch are dropped. ``whole_windows`` has neither cut.
+    """
     return events.withWatermark(at, lateness).groupBy(F.window(at, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
+def whole_windows(stream: DataFrame, at: str, kind: str, name: str, width: str = "1 day") -> DataFrame:
+    """(start, kind, n, total, last) per window of everything that is there, ``last`` being its latest event.
+
+    Sums per window are merged by batch number as in ``latest_by_key``, so late
+    rows join their window and counts do not depend on files or their order.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    done: dict[str, int] = {}
+
+    def sums(batch: DataFrame) -> DataFrame:
+        keyed = batch.where(F.col(at).isNotNull()).groupBy(F.window(at, width).alias("w"), kind)
+        return keyed.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max(at).alias("last")).select(F.col("w.start").alias("start"), kind, "n", "total", "last")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        parts = sums(batch)
+        if number:
+            parts = parts.unionByName(spark.read.parquet(f"{folder}/v{number - 1}"))
+        merged = parts.groupBy("start", kind).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last").alias("last"))
+        merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        done["version"] = number
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{folder}/v{done['version']}") if done else spark.createDataFrame([], sums(stream).schema)
+    return found.withColumn("total", F.round("total", 4))
+
+
 def latest_by_key(stream: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """The last row per key of a stream, by merging every micro-batch into a versioned table.
 

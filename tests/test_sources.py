@@ -54,3 +54,24 @@ def test_stream_of_several_files(spark, tmp_path):
     whole = X.stream_table(spark, str(tmp_path), "events", files_per_batch=9)
     got = X.drain(X.windowed_changes(whole, "ts", "event_type"), "w").collect()
     assert sum(r.n for r in got) == 48 and max(r.start for r in got).day == 12
+
+
+def test_windows_are_whole_in_any_file_order(spark, tmp_path):
+    from docloom.plans import graph
+
+    rows = [(f"2025-01-{1 + i // 4:02d} 00:00:00", "ab"[i % 2], 1.0) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, "a", 1.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    for days in ("ts >= '2025-01-11'", "ts < '2025-01-06' OR ts IS NULL", "ts >= '2025-01-06' AND ts < '2025-01-11'"):
+        df.where(days).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    one = X.whole_windows(X.stream_table(spark, str(tmp_path), "events", files_per_batch=1), "ts", "event_type", "w").collect()
+    assert len(one) == 30 and {(r.n, r.total) for r in one} == {(2, 2.0)}
+    assert sum(r.n for r in graph.stream_windows_all(spark, str(tmp_path)).collect()) == 60
+    assert sum(r.n for r in graph.stream_windows(spark, str(tmp_path)).collect()) == 48
+
+
+def test_late_rows_reach_closed_windows(spark, tmp_path):
+    from docloom.plans import graph
+
+    for k in range(18):  # more than two batches: the second batch is still held against the watermark before the first
+        spark.sql(f"SELECT TIMESTAMP_NTZ'2025-01-01' + make_dt_interval({(17 - k) * 3}) AS ts, 'a' AS event_type, 1.0D AS value").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert sum(r.n for r in graph.stream_windows(spark, str(tmp_path)).collect()) == 17
