@@ -2,8 +2,10 @@
 
 Balanced targets: the fewest pieces that can hold the text are counted, their
 ends are spread evenly, and each end moves to the strongest boundary nearby. If
-an end finds no natural boundary (a line's end at least) or a piece breaks the
-limit, one more piece is tried; the best of the tries counts.
+an end finds no natural boundary (a line's end at least) though one is there to
+find, or a piece breaks the limit, more pieces are tried. Where no try is down
+to the weak cuts that cannot be avoided, a shortest path over the natural
+boundaries is; it ends every piece where it must or at such a boundary.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ _HEADING = re.compile(r" {0,3}#{1,6}\s")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})", re.M)
 _HEADING_LINE = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$", re.M)
 
-#: The weakest boundary a cut may have while more pieces can be tried, and how many more are.
+#: The weakest boundary a cut should have, and how many more pieces are tried with balanced targets before the shortest path.
 NATURAL, EXTRA_PIECES = STRENGTHS.index("line"), 4
+#: Parts of a piece's length of which the shortest path takes the first, the last and the strongest boundary.
+PARTS = 16
 
 SCHEMA = "section_id string, heading_path array<string>, piece_no int, n_pieces int, start_offset int, end_offset int, boundary string, inner_headings array<string>, piece string"
 
@@ -68,14 +72,10 @@ def _whole(text: str, at: int, least: int) -> int:
     return k if k > least else at
 
 
-def _snap(text: str, target: int, lo: int, hi: int, fences: list[tuple[int, int]]) -> tuple[int, int]:
-    """(offset, strength) of the strongest boundary in [lo, hi]; among equals the one nearest to ``target``."""
-    best = (0, 0, 0)
-    begin = max(0, lo - 4)
-    for m in _BOUNDARY.finditer(text, begin, min(len(text), hi + 4)):
+def _boundaries(text: str, begin: int, end: int, fences: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(offset, strength) of the boundaries between two offsets."""
+    for m in _BOUNDARY.finditer(text, begin, end):
         at = m.end()
-        if not lo <= at <= hi:
-            continue
         code = _inside(fences, at)
         kind = m.lastgroup
         if kind in ("paragraph", "line") and not code:
@@ -85,12 +85,73 @@ def _snap(text: str, target: int, lo: int, hi: int, fences: list[tuple[int, int]
                 kind = "sentence"
         elif code:
             kind = "line" if kind in ("paragraph", "line") else "word"
-        best = max(best, (STRENGTHS.index(kind), -abs(at - target), -at))
+        yield at, STRENGTHS.index(kind)
+
+
+def _snap(text: str, target: int, lo: int, hi: int, fences: list[tuple[int, int]]) -> tuple[int, int]:
+    """(offset, strength) of the strongest boundary in [lo, hi]; among equals the one nearest to ``target``."""
+    best = (0, 0, 0)
+    for at, strength in _boundaries(text, max(0, lo - 4), min(len(text), hi + 4), fences):
+        if lo <= at <= hi:
+            best = max(best, (strength, -abs(at - target), -at))
     if best[0]:
         return -best[2], best[0]
     return _whole(text, min(max(target, lo), hi), lo), 0
 
 
+def _unavoidable(natural: list[tuple[int, int]], size: int, step: int, overlap: int) -> int:
+    """The cuts that no choice of pieces can put at a natural boundary: those within runs longer than a piece."""
+    ends = [overlap, *[at for at, _ in natural if overlap < at < size], size]
+    return sum(-(-(b - a) // step) - 1 for a, b in zip(ends, ends[1:]) if b > a)
+
+
+def _shortest(text: str, limit: int, overlap: int, natural: list[tuple[int, int]], fences: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """The pieces with the fewest weak cuts, then the fewest pieces, then the strongest cuts and most even lengths."""
+    size, step = len(text), limit - overlap
+    marks, parts = {}, {}
+    for at, strength in natural:
+        if overlap < at < size:
+            parts.setdefault(at * PARTS // step, []).append((at, strength))
+    for part in parts.values():
+        marks |= dict((part[0], part[-1], max(part, key=lambda x: x[1])))
+    # weak cuts, spread over each run that is longer than a piece
+    start, end = 0, overlap
+    for b in [*sorted(marks), size]:
+        while b - start > limit:
+            more = -(-(b - start - limit) // step)
+            target, reach = end + (b - end) // (more + 1), int((b - end) / (more + 1) * 0.45)
+            lo, hi = max(end + 1, b - more * step), start + limit
+            lo, hi = max(lo, min(target - reach, hi)), min(hi, max(target + reach, lo))
+            at, strength = _snap(text, target, lo, hi, fences)
+            marks[at] = strength
+            end, start = at, _whole(text, at - overlap, start)
+        end, start = b, _whole(text, b - overlap, start)
+    mean = size / -(-(size - overlap) // step)
+    # per end: (cost, start of the next piece, end before)
+    ends = [0, *sorted(marks), size]
+    found: list[tuple[tuple[int, int, float], int, int] | None] = [((0, 0, 0.0), 0, 0)]
+    first = 0
+    for k, at in enumerate(ends[1:], 1):
+        strength = marks.get(at, len(STRENGTHS) - 1)
+        while first < k and ends[first] < at - limit:
+            first += 1
+        best = None
+        for i in range(first, k):
+            before = found[i]
+            if before and at - before[1] <= limit:
+                weak, pieces, bad = before[0]
+                cost = (weak + (strength < NATURAL), pieces + 1, bad + ((at - before[1]) / mean - 1) ** 2 + (len(STRENGTHS) - 1 - strength) / len(STRENGTHS))
+                if best is None or cost < best[0]:
+                    best = (cost, _whole(text, at - overlap, before[1]), i)
+        found.append(best)
+    out, k = [], len(ends) - 1
+    while k and found[k]:
+        i = found[k][2]
+        out.append((found[i][1], ends[k], "end" if k == len(ends) - 1 else STRENGTHS[marks[ends[k]]]))
+        k = i
+    return [] if k else out[::-1]
+
+
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of the pieces, in code points.
 
@@ -106,10 +167,11 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     step = limit - overlap
     least = -(-(size - overlap) // step)
     fences = _fences(text) if "```" in text or "~~~" in text else []
+    natural, fewest = None, 0
     best: tuple[int, list[tuple[int, int, str]]] | None = None
     for n in range(least, least + EXTRA_PIECES + 1):
         stride = (size - overlap) / n
-        reach, pieces, start, end, weakest = max(1, int(stride * 0.45)), [], 0, 0, len(STRENGTHS)
+        reach, pieces, start, end, weak = max(1, int(stride * 0.45)), [], 0, 0, 0
         for i in range(1, n):
             target = round(overlap + i * stride)
             lo, hi = max(end + 1, size - (n - i) * step), start + limit
@@ -118,14 +180,22 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
                 break
             at, strength = _snap(text, target, lo, hi, fences)
             pieces.append((start, at, STRENGTHS[strength]))
-            weakest, end, start = min(weakest, strength), at, _whole(text, at - overlap, start)
+            weak, end, start = weak + (strength < NATURAL), at, _whole(text, at - overlap, start)
         else:
             if size - start <= limit:
                 pieces.append((start, size, "end"))
-                if best is None or weakest > best[0]:
-                    best = (weakest, pieces)
-                if weakest >= NATURAL:
-                    break
+                if best is None or weak < best[0]:
+                    best = (weak, pieces)
+        if best and best[0] and natural is None:
+            natural = [x for x in _boundaries(text, 0, size, fences) if x[1] >= NATURAL]
+            fewest = _unavoidable(natural, size, step, overlap)
+        if best and best[0] <= fewest:
+            return best[1]
+    if natural is None:
+        natural = [x for x in _boundaries(text, 0, size, fences) if x[1] >= NATURAL]
+    pieces = _shortest(text, limit, overlap, natural, fences)
+    if pieces and (best is None or sum(STRENGTHS.index(kind) < NATURAL for _, _, kind in pieces[:-1]) < best[0]):
+        return pieces
     if best:
         return best[1]
     pieces, start = [], 0

@@ -78,3 +78,23 @@ def test_random_prose_keeps_the_overlap():
     rng = random.Random(5)
     for _ in range(30):
         check("".join(rng.choice(["word ", "word. ", "\n", "\n\n", "語。", "- x\n"]) for _ in range(400)), rng.randint(60, 300), rng.randint(0, 30))
+
+
+def weak(got):
+    return sum(kind in ("none", "word", "clause") for _, _, kind in got)
+
+
+def test_one_unavoidable_weak_cut_leaves_the_others_natural():
+    text = "x" * 1200 + "\n\n" + ("word " * 60 + "\n\n") * 6
+    got = check(text[:2790], 1000, 100)
+    assert weak(got) == 1
+
+
+def test_no_more_weak_cuts_than_runs_need():
+    rng = random.Random(7)
+    for _ in range(200):
+        limit, overlap = rng.randint(60, 200), rng.randint(0, 30)
+        text = "".join("x" * rng.choice([5, 20, 40, 90, 150, 400]) + "\n" for _ in range(rng.randint(2, 30)))
+        step, cuts = limit - overlap, [i + 1 for i, ch in enumerate(text) if ch == "\n" and overlap < i + 1 < len(text)]
+        ends = [overlap, *cuts, len(text)]
+        assert weak(check(text, limit, overlap)) == sum(-(-(b - a) // step) - 1 for a, b in zip(ends, ends[1:]) if b > a) or len(text) <= limit
