@@ -33,6 +33,20 @@ def candidate_gate(spark: SparkSession, d: str) -> DataFrame:
     return K.gate(_merged(spark, d), 80.5, 2).select("source_section_id", "target_section_id", "place")
 
 
+def candidate_limit_32(spark: SparkSession, d: str) -> DataFrame:
+    """As candidate_limit, at the limit of the reference (related_candidate_max_per_section)."""
+    return K.limit_per_source(_merged(spark, d)).select("source_section_id", "target_section_id", "place", "score")
+
+
+def candidate_dropped_32(spark: SparkSession, d: str) -> DataFrame:
+    return K.dropped_report(_merged(spark, d))
+
+
+def candidate_gate_8(spark: SparkSession, d: str) -> DataFrame:
+    """As candidate_gate, at the reference's section_dense_threshold and section_final_top_n."""
+    return K.gate(_merged(spark, d), 0.55, 8).select("source_section_id", "target_section_id", "place")
+
+
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return K.unordered_pairs(table(spark, d, "related_section_candidates"))
 
@@ -124,7 +138,7 @@ def affected_sections(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidate_merge, candidate_limit, candidate_dropped, candidate_gate, candidate_pairs, channel_counts, shared_identifier_groups, shared_identifier_members, snapshot_diff, snapshot_upsert, snapshot_patch, snapshot_renames, index_verify, document_fingerprints, source_drift, changed_bases, affected_sections)
+    for f in (candidate_merge, candidate_limit, candidate_dropped, candidate_gate, candidate_limit_32, candidate_dropped_32, candidate_gate_8, candidate_pairs, channel_counts, shared_identifier_groups, shared_identifier_members, snapshot_diff, snapshot_upsert, snapshot_patch, snapshot_renames, index_verify, document_fingerprints, source_drift, changed_bases, affected_sections)
 }
 
 _W = "CASE v WHEN 'markdown_link' THEN 100.0 WHEN 'shared_identifier' THEN 90.0 WHEN 'search_key_match' THEN 80.0 WHEN 'qdrant_section_hybrid' THEN 60.0 ELSE 0.0 END"
@@ -156,6 +170,9 @@ SQL = {
     "candidate_limit": f"{_MERGED} SELECT source_section_id, target_section_id, place, score FROM (SELECT *, {_STRONG} AS place FROM m) WHERE place <= 3",
     "candidate_dropped": f"{_MERGED} SELECT source_section_id, CAST(3 AS BIGINT) AS kept, count(*) - 3 AS dropped FROM m GROUP BY 1 HAVING count(*) > 3",
     "candidate_gate": f"{_MERGED} SELECT source_section_id, target_section_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source_section_id ORDER BY score DESC, target_section_id) AS place FROM m WHERE score >= 80.5 OR exact) WHERE place <= 2 OR exact",
+    "candidate_limit_32": f"{_MERGED} SELECT source_section_id, target_section_id, place, score FROM (SELECT *, {_STRONG} AS place FROM m) WHERE place <= 32",
+    "candidate_dropped_32": f"{_MERGED} SELECT source_section_id, CAST(32 AS BIGINT) AS kept, count(*) - 32 AS dropped FROM m GROUP BY 1 HAVING count(*) > 32",
+    "candidate_gate_8": f"{_MERGED} SELECT source_section_id, target_section_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source_section_id ORDER BY score DESC, target_section_id) AS place FROM m WHERE score >= 0.55 OR exact) WHERE place <= 8 OR exact",
     "candidate_pairs": """WITH r AS (SELECT least(source_section_id, target_section_id) AS left_id, greatest(source_section_id, target_section_id) AS right_id, source_section_id < target_section_id AS forward FROM related_section_candidates WHERE trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> '')
 SELECT left_id, right_id, 'section_pair:sha256:v1:' || sha256('["v1",["' || replace(replace(left_id, '\\', '\\\\'), '"', '\\"') || '","' || replace(replace(right_id, '\\', '\\\\'), '"', '\\"') || '"]]') AS pair_id, count(DISTINCT forward) AS directions FROM r GROUP BY left_id, right_id""",
     "channel_counts": "SELECT source, channel, count(*) AS n FROM (SELECT DISTINCT candidate_id, source, unnest(channels) AS channel FROM related_section_candidates) WHERE channel IS NOT NULL GROUP BY ALL",

@@ -103,3 +103,20 @@ def test_rules(spark):
     df = spark.createDataFrame(rows, "doc string, n int, id string, text string")
     assert [tuple(r) for r in R.modal_conflicts(df, "doc", "n", "id").collect()] == [("d", "s2", "s1")]
     assert {tuple(r) for r in R.numeric_bounds(df, "doc").collect()} == {("d", 40, 50, True), ("e", 10, 3, False)}
+
+
+def test_limits_of_the_reference(spark, tmp_path):
+    from compare import difference
+    from docloom.plans import corpus
+
+    row = lambda source, k, channel: (source, f"t{k:02d}", [channel], ["x"] * (k % 2))
+    rows = [row("a", k, "search_key_match") for k in range(40)] + [row("b", k, "qdrant_section_hybrid") for k in range(10)] + [row("c", k, "markdown_link") for k in range(9)]
+    spark.createDataFrame(rows, "source_section_id string, target_section_id string, channels array<string>, evidence_terms array<string>").coalesce(1).write.parquet(str(tmp_path / "related_section_candidates.parquet"))
+    d = str(tmp_path)
+    kept = {r["source_section_id"]: r["count"] for r in corpus.candidate_limit_32(spark, d).groupBy("source_section_id").count().collect()}
+    assert kept == {"a": 32, "b": 10, "c": 9}
+    assert [tuple(r) for r in corpus.candidate_dropped_32(spark, d).collect()] == [("a", 32, 8)]
+    passed = {r["source_section_id"]: r["count"] for r in corpus.candidate_gate_8(spark, d).groupBy("source_section_id").count().collect()}
+    assert passed == {"a": 8, "b": 8, "c": 9}
+    for name in ("candidate_limit_32", "candidate_dropped_32", "candidate_gate_8"):
+        assert difference(spark, name, corpus.QUERIES[name], corpus.SQL[name], d) is None
