@@ -242,7 +242,7 @@ def nearest_neighbours(
     dense: str,
     dim: int = 64,
     k: int = 10,
-    factor: float = 0.25,
+    factor: float = 0.35,
     least_cosine: float = -1.0,
     asks: Callable[[Column], Column] | None = None,
     shard_rows: int = SHARD_ROWS,
@@ -336,7 +336,7 @@ def nearest_neighbours(
     return all_found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("uid", "other", "cosine")
 
 
-def similar_pairs(vectors: DataFrame, uid: str, dense: str, dim: int = 64, least_cosine: float = 0.95, k: int = 10, factor: float = 0.25) -> DataFrame:
+def similar_pairs(vectors: DataFrame, uid: str, dense: str, dim: int = 64, least_cosine: float = 0.95, k: int = 10, factor: float = 0.35) -> DataFrame:
     """(uid_a, uid_b) with uid_a < uid_b whose cosine reaches ``least_cosine``, each among the k nearest of the other."""
     near = nearest_neighbours(vectors, uid, dense, dim, k, factor, least_cosine)
     return near.select(F.least("uid", "other").alias("uid_a"), F.greatest("uid", "other").alias("uid_b")).distinct()

@@ -79,3 +79,17 @@ def test_empty_table_and_pairs(spark):
     assert neighbours.nearest_neighbours(table(spark, []), "uid", "dense", 8).count() == 0
     pairs = neighbours.similar_pairs(table(spark, [("b", [1] * 8), ("a", [1] * 7 + [1.1]), ("c", [-1] * 8)]), "uid", "dense", 8).collect()
     assert [(p.uid_a, p.uid_b) for p in pairs] == [("a", "b")]
+
+
+def test_recall_in_few_dimensions_and_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_SHARD_ROWS", 60)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 4)) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x @ x.T
+    np.fill_diagonal(c, -2)
+    want = {(f"{i:05d}", f"{j:05d}") for i in range(len(x)) for j in np.argsort(-c[i])[:10] if c[i, j] >= 0.95}
+    df = spark.createDataFrame([(f"{i:05d}", r.tolist()) for i, r in enumerate(x)], "uid string, dense array<float>")
+    got = {(r.uid, r.other) for r in neighbours.nearest_neighbours(df, "uid", "dense", least_cosine=0.95, shard_rows=60).collect()}
+    assert len(want & got) >= 0.86 * len(want)
