@@ -58,6 +58,50 @@ def test_markdown():
     assert cut(text) == ["Head\r\n----", "Para one\r\nwraps here.", "Two.", "- item.", "More of it", "- second", "1. third", "| a | b. c |", "| - | - |", "```py\r\nx. Y\r\n\r\nz\r\n```", "> quoted text\r\n> goes on.", "Next", "====", "## H2", "End"]
 
 
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["The gap is 5 mm.", "Then we measure."],
+        ["Latency was 5 ms.", "The second run was slower."],
+        ["We chose plan B.", "Nobody objected."],
+        ["He takes vitamin C.", "She does not."],
+        ["Он родился в 1990 г.", "Потом уехал."],
+        ["See eq. (3)."],
+        ["He won. . . then lost."],
+        ["See Sec. IV and Fig. S1 for it.", "Ms. Kelmar asked Dr. Mardal."],
+        ["MM. Dupont et Durand sont là.", "Elle mesure 5 mm.", "Ils partent."],
+        ["It weighs 3 g.", "We asked Mrs. K. Or and J. R. Dun."],
+        ["Das gilt z. B. für Prof. Kelmar am 16. Mai.", "Es ist der 5. Versuch."],
+    ],
+)
+def test_languages_units_and_initials(units):
+    assert cut(" ".join(units)) == units
+
+
+def test_abbreviations_are_those_of_the_language():
+    # 'mm' is a title in French, and 'abs' an abbreviation in German only
+    assert cut("It is wide in mm. Kelmar is not.") == ["It is wide in mm.", "Kelmar is not."]
+    assert cut("Selon MM. Kelmar et Dun.") == ["Selon MM. Kelmar et Dun."]
+    assert cut("We have strong abs. 5 of them.") == ["We have strong abs.", "5 of them."]
+    assert cut("Das ist nach Abs. 5 so.") == ["Das ist nach Abs. 5 so."]
+
+
+def test_no_window_hides_the_context():
+    assert cut("At https://x.example/" + "a" * 300 + "?B is it.") == ["At https://x.example/" + "a" * 300 + "?B is it."]
+    assert cut("“((( [ [ Go. Now. ” he said. More.") == ["“((( [ [ Go. Now. ” he said.", "More."]
+    assert cut("Am der" + " " * 60 + "5. Versuch.") == ["Am der" + " " * 60 + "5. Versuch."]
+    assert cut("A" + "a" * 90 + "b" * 10 + ". Next.") == ["A" + "a" * 90 + "b" * 10 + ".", "Next."]
+    assert len(cut("A.B" * 30000 + " End. New.")) == 2
+
+
+def test_marks_of_the_standard_property():
+    # Tibetan, Ethiopic and Armenian end marks; a semicolon and an Armenian comma continue
+    assert cut("ሰላም። ደህና።") == ["ሰላም።", "ደህና።"]
+    assert cut("Բարեւ։ Այո։") == ["Բարեւ։", "Այո։"]
+    assert cut("He said “Stop!”; she went.") == ["He said “Stop!”; she went."]
+    assert cut("He left.⟧ She came.") == ["He left.⟧", "She came."]
+
+
 def test_wrapped_number_is_no_list():
     assert cut("It moved on the\n16. Mai und\nkam.") == ["It moved on the\n16. Mai und\nkam."]
     assert cut("Requests no. 3 to no.\n301 must wait.") == ["Requests no. 3 to no.\n301 must wait."]
