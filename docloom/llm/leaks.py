@@ -17,6 +17,7 @@ a larger set of items is searched in groups of bounded size, one pass each.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import sys
 import unicodedata
@@ -42,17 +43,28 @@ SPANS = "doc_id long, item_id long, unit string, span_start int, span_end int"
 
 
 @functools.cache
-def _format_characters() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
+def _format_characters() -> np.ndarray:
+    """Of every code point whether it is a format character."""
+    return np.array([unicodedata.category(chr(c)) == "Cf" for c in range(sys.maxunicode + 1)])
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def normal_text(text: str) -> str:
+    """NFKC, lower case, no format characters."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKC", text).lower()
+    codes = _code_points(text)
+    drop = _format_characters()[codes]
+    return codes[~drop].tobytes().decode("utf-32-le", "surrogatepass") if drop.any() else text
 
 
 def normal_words(text: str) -> list[str]:
-    """NFKC, lower case, no format characters; everything that is neither letter nor number separates."""
-    if not text.isascii():
-        text = _format_characters().sub("", unicodedata.normalize("NFKC", text).lower())
-    else:
-        text = text.lower()
-    return _TOKEN.findall(text)
+    """The words of the normal text; everything that is neither letter nor number separates."""
+    return _TOKEN.findall(normal_text(text))
 
 
 @dataclass
@@ -292,14 +304,17 @@ def find_in_batches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator
                 end += 1
             rows = [normal_words(t) for t in texts[begin:end]]
             lengths = np.array([len(r) + 1 for r in rows], dtype=np.int64)
-            flat = [code.get(w, 0) for r in rows for w in (*r, None)]
+            for r in rows:
+                r.append("")  # no word: separates the documents
+            known = code.get
+            flat = [known(w, 0) for w in itertools.chain.from_iterable(rows)]
             words.add(ids[begin:end], np.array(flat, dtype=np.int64), lengths)
             if len(items.chars.grams):
                 solid = ["".join(r) for r in rows]
                 some = [i for i, s in enumerate(solid) if not (items.chars.special_least and s.isascii())]
                 if some:
                     joined = "\0".join([solid[i] for i in some] + [""])
-                    symbols = items.code_of[np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)]
+                    symbols = items.code_of[_code_points(joined)]
                     chars.add(ids[begin:end][some], symbols.astype(np.int64), np.array([len(solid[i]) + 1 for i in some], dtype=np.int64))
             begin = end
             for b in (words, chars):
@@ -334,33 +349,48 @@ def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def word_offsets(text: str) -> list[tuple[int, int]] | None:
-    """(start, end) in ``text``, in code points, of every normalised word; None if they cannot be told apart.
+def word_offsets(text: str) -> list[tuple[int, int]]:
+    """(start, end) in ``text``, in code points, of every normalised word.
 
-    Characters are normalised by grapheme cluster, so every normalised character
-    has a place in the text.
+    Each line is normalised by grapheme cluster, so that every normalised
+    character has a place. Where that differs from the line as a whole, its
+    characters have the whole line as their place. Lower-casing keeps count of
+    the characters: only the final sigma depends on its neighbours, and it is
+    one character either way.
     """
     import regex
 
-    parts, places, at = [], [], 0
-    for cluster in regex.findall(r"\X", text):
-        piece = _format_characters().sub("", unicodedata.normalize("NFKC", cluster).lower())
-        parts.append(piece)
-        places += [(at, at + len(cluster))] * len(piece)
-        at += len(cluster)
-    joined = "".join(parts)
-    found = [m.span() for m in _TOKEN.finditer(joined)]
-    if [joined[a:b] for a, b in found] != normal_words(text):
-        return None
-    return [(places[a][0], places[b - 1][1]) for a, b in found]
+    places, at, joined = [], 0, []
+    for line in re.split(r"(?<=\n)", text):
+        parts, own = [], []
+        for m in regex.finditer(r"\X", line):
+            piece = unicodedata.normalize("NFKC", m.group())
+            parts.append(piece)
+            own += [(at + m.start(), at + m.end())] * len(piece)
+        normal = "".join(parts)
+        whole = unicodedata.normalize("NFKC", line)
+        if normal != whole:
+            bare = line.rstrip("\r\n")
+            normal, own = whole, [(at, at + len(bare))] * len(whole)
+        joined.append(normal)
+        places += own
+        at += len(line)
+    normal = "".join(joined)
+    lower = normal.lower()
+    if len(lower) != len(normal):
+        places = [place for ch, place in zip(normal, places) for _ in ch.lower()]
+    drop = _format_characters()[_code_points(lower)]
+    if drop.any():
+        places = [place for place, gone in zip(places, drop.tolist()) if not gone]
+    return [(places[m.start()][0], places[m.end() - 1][1]) for m in _TOKEN.finditer(normal_text(text))]
 
 
 def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, span_start, span_end): what to cut out of each document, in code points of its text.
 
     The spans of all items of a document are merged where they touch or overlap.
-    Only documents with a leak are read again. A text whose characters cannot be
-    placed is one span from its start to its end.
+    Only documents with a leak are read again. Should the characters of a line
+    have no places of their own, the line is cut out, never more.
     """
     spans = leaked_spans(documents, items).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "span_start", "span_end")).alias("spans"))
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
@@ -370,9 +400,6 @@ def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
             out: list[tuple[int, int, int]] = []
             for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = word_offsets(text)
-                if words is None:
-                    out.append((doc, 0, len(text)))
-                    continue
                 letters = np.repeat(np.arange(len(words)), [len(w) for w in normal_words(text)])
                 cut = []
                 for s in own:

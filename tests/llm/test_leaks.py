@@ -105,3 +105,34 @@ def test_removal_spans_in_the_text(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: texts[r.doc_id][r.span_start : r.span_end] for r in leaks.removal_spans(docs, items).collect()}
     assert got == {1: leak.rstrip(" —\u200b"), 2: ja[:15] + "、\n" + ja[15:33] + "後"}
+
+
+def test_offsets_of_words_whatever_the_text():
+    for text in ("ΑΣ b", "x ΟΔΟΣ. Β", "İstanbul ﬁ ① x", "a\u00ad\u0301 b", "ｶﾞ ㍿ é e\u0301", "각 \u1100\u1161\u11a8", "한\r\n\u0301x\ny", ""):
+        at = leaks.word_offsets(text)
+        assert len(at) == len(leaks.normal_words(text)) == len(norm(text))
+        assert all(0 <= a < z <= len(text) for a, z in at) and at == sorted(at)
+    assert [("ΑΣ b")[a:z] for a, z in leaks.word_offsets("ΑΣ b")] == ["ΑΣ", "b"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aÅΣσİß\u0301\u0327\u00ad\u200dｶﾞ①ﬁ한\u1100\u1161 \n-", max_size=40))
+def test_normal_words_and_their_places(text):
+    assert leaks.normal_words(text) == norm(text)
+    at = leaks.word_offsets(text)
+    assert len(at) == len(norm(text))
+    lines = text.split("\n")
+    bounds, k = [], 0
+    for line in lines:
+        bounds.append((k, k + len(line)))
+        k += len(line) + 1
+    assert all(any(a <= s < z <= b for a, b in bounds) for s, z in at)
+
+
+def test_a_final_sigma_removes_the_leak_only(spark):
+    words = [f"w{i}" for i in range(15)]
+    text = "ΑΣ stays here\n" + " ".join(words) + "\nΟΔΟΣ stays too"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "en", " ".join(words))], "item_id long, lang string, text string")
+    got = [text[r.span_start : r.span_end] for r in leaks.removal_spans(docs, items).collect()]
+    assert got == [" ".join(words)]
