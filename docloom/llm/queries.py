@@ -17,6 +17,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_terms(spark, d).where("mark IS NOT NULL").select("field_name", "term", "mark")
 
 
+def p3_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """The index itself: one united bitmap per term and chunk."""
+    s, w = table(spark, d, "sections"), table(spark, d, "work_items")
+    return terms.corpus_bitmaps(s, w, terms.record_totals(s, w))
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """The record map of the index: which section_id each bit stands for."""
+    s, w = table(spark, d, "sections"), table(spark, d, "work_items")
+    return terms.corpus_records(s, w, terms.record_totals(s, w))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     split = pieces.split_oversized(table(spark, d, "sections"), table(spark, d, "section_config"))
     return split.where("piece_no = 1 AND n_pieces > 1").select("section_id")
@@ -57,7 +69,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removals": p7_removals, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p3_bitmaps": p3_bitmaps, "p3_records": p3_records, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removals": p7_removals, "p8_found": p8_found}
 
 _TERMS = r"""WITH texts AS (SELECT section_id, max(text) AS v FROM sections WHERE section_id IS NOT NULL GROUP BY section_id),
 lists AS (SELECT section_id, max(identifiers) AS v FROM work_items WHERE section_id IS NOT NULL GROUP BY section_id),
