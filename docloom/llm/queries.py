@@ -38,6 +38,10 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.all_pieces(table(spark, d, "sections"), table(spark, d, "section_config"))
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.piece_checks(table(spark, d, "sections"), table(spark, d, "section_config"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "section_vectors"), "stable_chunk_uid", "dense")
 
@@ -69,7 +73,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p3_bitmaps": p3_bitmaps, "p3_records": p3_records, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removals": p7_removals, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p3_bitmaps": p3_bitmaps, "p3_records": p3_records, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_checks": p4_checks, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removals": p7_removals, "p8_found": p8_found}
 
 _TERMS = r"""WITH texts AS (SELECT section_id, max(text) AS v FROM sections WHERE section_id IS NOT NULL GROUP BY section_id),
 lists AS (SELECT section_id, max(identifiers) AS v FROM work_items WHERE section_id IS NOT NULL GROUP BY section_id),
@@ -84,6 +88,8 @@ SQL = {
     "p3_found": f"{_TERMS} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": f"{_TERMS} SELECT * FROM marked",
     "p4_found": """SELECT DISTINCT s.section_id FROM sections s JOIN section_config c ON c.profile = coalesce(s.profile, 'standard') WHERE length(s.text) > c.max_chars""",
+    "p4_checks": """SELECT section_id, CAST(max(length(text)) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS short_overlaps, CAST(0 AS BIGINT) AS wrong_texts
+FROM sections WHERE section_id IS NOT NULL AND length(text) > 0 GROUP BY section_id""",
     "p5_found": """WITH v AS (
   SELECT DISTINCT stable_chunk_uid AS uid, CAST(dense AS DOUBLE[]) AS x FROM section_vectors
   WHERE stable_chunk_uid IS NOT NULL AND len(dense) = 64 AND len(list_filter(dense, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(dense, lambda e: e <> 0)) > 0)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,7 +11,6 @@ PROSE = ("The rule holds for every record. It ends here! Does it? " * 8 + "\n\n#
 
 def check(text, limit, overlap):
     got = pieces.cut(text, limit, overlap)
-    overlap = min(overlap, limit // 2)
     assert got[0][0] == 0 and got[-1][1] == len(text)
     for start, end, _ in got:
         assert 0 < end - start <= limit
@@ -22,6 +22,10 @@ def check(text, limit, overlap):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab .\n#、。é́`~", min_size=1, max_size=600), st.integers(5, 80), st.integers(0, 60))
 def test_limits_and_cover(text, limit, overlap):
+    if overlap >= limit and len(text) > limit:
+        with pytest.raises(ValueError):
+            pieces.cut(text, limit, overlap)
+        return
     got = pieces.cut(text, limit, overlap)
     assert got[0][0] == 0 and got[-1][1] == len(text)
     assert all(0 < e - s <= limit for s, e, _ in got)
@@ -98,3 +102,36 @@ def test_no_more_weak_cuts_than_runs_need():
         step, cuts = limit - overlap, [i + 1 for i, ch in enumerate(text) if ch == "\n" and overlap < i + 1 < len(text)]
         ends = [overlap, *cuts, len(text)]
         assert weak(check(text, limit, overlap)) == sum(-(-(b - a) // step) - 1 for a, b in zip(ends, ends[1:]) if b > a) or len(text) <= limit
+
+
+def test_widens_before_it_cuts_a_word():
+    text = "x" * 230 + " " + "y" * 1370
+    assert pieces.cut(text, 1600, 200) == [(0, 231, "word"), (31, 1601, "end")]
+
+
+def test_an_overlap_over_half_the_limit_is_kept():
+    got = check("Some words in a row. " * 30, 100, 70)
+    assert all(end - start >= 70 for (_, end, _), (start, _, _) in zip(got, got[1:]))
+
+
+def test_no_word_is_cut_that_can_be_spared():
+    rng = random.Random(11)
+    for _ in range(300):
+        limit, overlap = rng.randint(40, 160), rng.randint(0, 30)
+        text = "".join("x" * rng.choice([3, 8, 20, 60, 130, 200]) + rng.choice([" ", " ", ", ", "\n"]) for _ in range(rng.randint(3, 40)))
+        every = pieces.Boundaries(text).from_strength(1)
+        none = sum(kind == "none" for _, _, kind in check(text, limit, overlap))
+        assert none == (pieces._unavoidable(every, len(text), limit - overlap, overlap) if len(text) > limit else 0)
+
+
+def test_the_latest_row_is_chosen_first(spark):
+    import datetime
+
+    day = lambda k: datetime.datetime(2025, 1, k)
+    rows = [("a", [], "word " * 100, "tight", day(1), ""), ("a", [], "short", "tight", day(2), ""), ("b", [], "short", "tight", day(1), ""), ("b", [], "word " * 20, "tight", day(2), "")]
+    s, config = spark.createDataFrame(rows, SECTIONS), spark.createDataFrame([("tight", 2, 50, 10)], CONFIG)
+    assert {r.section_id for r in pieces.split_oversized(s, config).collect()} == {"b"}
+    got = [(r.section_id, r.piece) for r in pieces.all_pieces(s, config).collect()]
+    assert ("a", "short") in got and sum(k == "a" for k, _ in got) == 1
+    checks = {r.section_id: (r.covered, r.over_limit, r.short_overlaps, r.wrong_texts) for r in pieces.piece_checks(s, config).collect()}
+    assert checks == {"a": (5, 0, 0, 0), "b": (100, 0, 0, 0)}
