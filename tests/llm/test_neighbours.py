@@ -93,3 +93,28 @@ def test_recall_in_few_dimensions_and_many_shards(spark, monkeypatch):
     df = spark.createDataFrame([(f"{i:05d}", r.tolist()) for i, r in enumerate(x)], "uid string, dense array<float>")
     got = {(r.uid, r.other) for r in neighbours.nearest_neighbours(df, "uid", "dense", least_cosine=0.95, shard_rows=60).collect()}
     assert len(want & got) >= 0.86 * len(want)
+
+
+def test_home_shard_first_then_the_shards_within_reach(spark, rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_SHARD_ROWS", 100)
+    got = neighbours.nearest_neighbours(table(spark, rows), "uid", "dense", 8, k=5, factor=1.0, route_factor=1.0).collect()
+    want = {(u, o) for u, near in brute(rows, 5).items() for o, _ in near}
+    assert {(r.uid, r.other) for r in got} == want and len(got) == len(want)
+
+
+def test_overfull_shards_are_kept_in_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_SHARDS", 4)
+    monkeypatch.setattr(neighbours, "LEAST_SHARD_ROWS", 10)
+    copies = rows + [(f"copy{i}", rows[0][1]) for i in range(30)]
+    for least in (0.8, -1.0):
+        got = neighbours.nearest_neighbours(table(spark, copies), "uid", "dense", 8, k=5, factor=1.0, route_factor=1.0, least_cosine=least, shard_rows=20).collect()
+        want = {(u, o) for u, near in brute(copies, 5, least).items() for o, _ in near}
+        assert {(r.uid, r.other) for r in got} == want and len(got) == len(want)
+
+
+def test_what_shards_hold_is_counted(spark):
+    root, _ = neighbours.build_tree(neighbours._unit(np.random.default_rng(0).normal(size=(64, 8))), 16)
+    for i, leaf in enumerate(neighbours.leaves(root)):
+        leaf.shard = i
+    neighbours.balance(root, spark.createDataFrame([(0, 500, 10), (0, 500, 10), (1, 10, 900_000)], "shard long, stored long, visits long"), 100)
+    assert [(leaf.parts, leaf.salts) for leaf in neighbours.leaves(root)] == [(5, 1), (1, 23), (1, 1), (1, 1)]
