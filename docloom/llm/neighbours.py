@@ -330,11 +330,15 @@ def _search_task(table: pa.Table, dim: int, k: int, factor: float, least_cosine:
         cosine = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
         cosine[a == b] = 1.0
         good = (cosine >= least_cosine) & ((a != b) | more[a] | (np.array([len(x) for x in lists])[a] > 1))
+        near: dict[int, list[tuple[float, str]]] = {}
         for g, o, c in zip(a[good].tolist(), b[good].tolist(), cosine[good].tolist()):
+            near.setdefault(g, []).extend((-c, o_id) for o_id in lists[o])
+        for g, own in near.items():
+            own.sort()
             if more[g]:
-                out += [(None, int(h1[first[g]]), int(h2[first[g]]), o_id, c) for o_id in lists[o]]
+                out += [(None, int(h1[first[g]]), int(h2[first[g]]), o_id, -c) for c, o_id in own[: k + 1]]
             else:
-                out += [(me, int(h1[first[g]]), None, o_id, c) for me in lists[g] for o_id in lists[o] if me != o_id]
+                out += [(me, int(h1[first[g]]), None, o_id, -c) for me in lists[g] for c, o_id in own[: k + len(lists[g])] if me != o_id]
     columns = list(zip(*out)) if out else [()] * 5
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())
     found = pa.table({n: pa.array(list(c), t) for n, c, t in zip(("uid", "h1", "h2", "other", "cosine"), columns, kinds)})
@@ -409,6 +413,7 @@ def nearest_neighbours(
     found = columns.mapInArrow(route, ROUTED).groupBy("task").applyInArrow(lambda t: _search_task(t, dim, k, factor, least_cosine, not bounded), wider)
     if not bounded:
         found = _search_others(found, columns, root, dim, k, factor, route_factor, shard_rows)
+    found = cut_lineage(found)  # read twice below: for known ids, and for groups of copies
 
     # groups of more than k + 1 copies were answered once for all, without an id: their members are told here
     known = found.where("uid IS NOT NULL").select("uid", "other", "cosine")
