@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 #: Maximal runs of word characters; matching them whole stands in for word boundaries.
 RUN, DOTTED_RUN, FILE_RUN = r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}_.]+", r"[\p{L}\p{N}_.\-]+"
-_BEFORE = r"(?:^|[^\p{L}\p{N}_])"
+#: Only where no word character stands before; consumes nothing, so adjacent matches are all found.
+_BEFORE = r"(?<![\p{L}\p{N}_])"
 
 #: Words too general to relate two sections (fixed values).
 GENERIC_TERMS = (
-    "user users data info config configuration test tests section sections summary spec specs source value values "
-    "input output field fields name names type types auth api url key keys id ids ユーザー データ 設定 認証 テスト"
-).split()
+    "user", "users", "data", "info", "config", "configuration", "test", "tests", "section", "sections", "summary", "spec", "specs", "source", "value", "values",
+    "input", "output", "field", "fields", "name", "names", "type", "types", "auth", "api", "url", "key", "keys", "id", "ids",
+    "ユーザー", "データ", "設定", "認証", "テスト",
+)
 #: Words of state that count as identifiers, in alphabetical order, and parts that make a snake_case name one (fixed values).
-STATUS_WORDS = "blocked degraded dirty failed fresh optional pending required resolved stale success timeout".split()
-WARNING_MARKERS = "blocking conflict degraded diagnostic error failed freshness invalid missing pending required stale timeout warning".split()
+STATUS_WORDS = ("blocked", "degraded", "dirty", "failed", "fresh", "optional", "pending", "required", "resolved", "stale", "success", "timeout")
+WARNING_MARKERS = ("blocking", "conflict", "degraded", "diagnostic", "error", "failed", "freshness", "invalid", "missing", "pending", "required", "stale", "timeout", "warning")
 
+#: Character ranges and the pattern of a search token (fixed values).
 CJK = "一-龯ぁ-んァ-ンー"
 TOKEN = rf"@[A-Za-z0-9_.\-]+/[A-Za-z0-9_.\-]+|[A-Za-z_][A-Za-z0-9_.\-]*|[0-9]+|[{CJK}]{{2,}}"
 
@@ -103,7 +106,7 @@ def identifiers(heading_path: Column, text: Column, cap: int = 64) -> Column:
     return F.slice(F.array_distinct(clean), 1, cap)
 
 
-#: Shapes that make a key a code symbol rather than natural language.
+#: Shapes that make a key a code symbol rather than natural language (fixed values).
 KEY_SHAPES = (
     r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z_][A-Za-z0-9_]*\(\)|/[A-Za-z][A-Za-z0-9_\-]*|--[A-Za-z0-9][A-Za-z0-9_\-]*|[A-Z][A-Z0-9_]{2,}"
     r"|[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*[A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*(?:_[a-z0-9]+)+|[A-Za-z0-9_.\-]+\.(?:json|toml|ya?ml|md|py|txt|lock)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,17 @@ def hashed_sparse(rows: DataFrame, key: str, tokens: str) -> DataFrame:
 
 
 def hashed_dense(rows: DataFrame, key: str, tokens: str, dim: int) -> DataFrame:
-    """(key, slot, value): signed counts of tokens hashed into ``dim`` slots; the sign is the parity of the fifth byte."""
+    """(key, slot, value): signed counts of tokens hashed into ``dim`` slots, to length 1; the sign is the parity of the fifth byte.
+
+    A row whose counts cancel out, or without tokens, has no slots.
+    """
     digest = F.sha2("token", 256)
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
     counted = rows.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     slots = counted.select(key, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("slot"), (sign * F.col("n")).alias("v"))
-    return slots.groupBy(key, "slot").agg(F.sum("v").cast("double").alias("value")).where("value <> 0")
+    summed = slots.groupBy(key, "slot").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return summed.select(key, "slot", F.round(F.col("v") / norm, 6).alias("value"))
 
 
 def normal_sparse(indices: Column, values: Column) -> Column:

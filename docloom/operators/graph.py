@@ -41,7 +41,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours, then its smaller ones, to the smallest node it knows. Rounds are
     logarithmic, rows never exceed the edges, and the minimum per node is a
     partial aggregate, so a node with a third of all edges is no large group.
-    Nodes whose only edges are loops are their own components.
+    Nodes whose only edges are loops are their own components. A graph that is
+    not done after ``rounds`` rounds is an error, never a partial result.
     """
     loops = edges.where("src IS NOT NULL AND src = dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
     pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
@@ -58,6 +59,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not converged after {rounds} rounds")
     root = pairs.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 

@@ -24,8 +24,11 @@ def modal_conflicts(sections: DataFrame, group: str, order: str, key: str) -> Da
 
 
 def numeric_bounds(sections: DataFrame, group: str) -> DataFrame:
-    """(group, lowest_limit, highest_wait, conflict): upper bounds ('not exceed N') against waits ('wait N') of a group."""
-    numbers = lambda pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.try_to_number(x, F.lit("999999999")).cast("long"))
-    rows = sections.where(F.col(group).isNotNull() & F.col("text").isNotNull()).select(group, F.array_min(numbers(r"not exceed ([0-9]{1,9})")).alias("limit"), F.array_max(numbers(r"wait ([0-9]{1,9})")).alias("wait"))
+    """(group, lowest_limit, highest_wait, conflict): upper bounds ('not exceed N') against waits ('wait N') of a group.
+
+    Numbers over 64 bits count as the greatest number of 64 bits.
+    """
+    numbers = lambda pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.coalesce(x.try_cast("long"), F.lit((1 << 63) - 1)))
+    rows = sections.where(F.col(group).isNotNull() & F.col("text").isNotNull()).select(group, F.array_min(numbers(r"not exceed ([0-9]+)")).alias("limit"), F.array_max(numbers(r"wait ([0-9]+)")).alias("wait"))
     found = rows.groupBy(group).agg(F.min("limit").alias("lowest_limit"), F.max("wait").alias("highest_wait"))
     return found.where("lowest_limit IS NOT NULL AND highest_wait IS NOT NULL").withColumn("conflict", F.col("highest_wait") > F.col("lowest_limit"))

@@ -146,8 +146,8 @@ HAVING time_bucket(INTERVAL 1 DAY, max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts)
     "modal_conflicts": f"""WITH {_S}, m AS (SELECT source_document_id, arg_min(section_id, (start_line, section_id)) FILTER (regexp_matches(regexp_replace(text, '{R._NEGATED}', ' ', 'g'), '{R.REQUIRED}')) AS required_in,
 arg_min(section_id, (start_line, section_id)) FILTER (regexp_matches(text, '{R.PROHIBITED}')) AS prohibited_in FROM s WHERE source_document_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)
 SELECT * FROM m WHERE required_in IS NOT NULL AND prohibited_in IS NOT NULL""",
-    "numeric_bounds": f"""WITH {_S}, b AS (SELECT source_document_id, min(list_min(list_transform(regexp_extract_all(text, 'not exceed ([0-9]{{1,9}})', 1), lambda e: CAST(e AS BIGINT)))) AS lowest_limit,
-max(list_max(list_transform(regexp_extract_all(text, 'wait ([0-9]{{1,9}})', 1), lambda e: CAST(e AS BIGINT)))) AS highest_wait FROM s WHERE source_document_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+    "numeric_bounds": f"""WITH {_S}, b AS (SELECT source_document_id, min(list_min(list_transform(regexp_extract_all(text, 'not exceed ([0-9]+)', 1), lambda e: coalesce(TRY_CAST(e AS BIGINT), 9223372036854775807)))) AS lowest_limit,
+max(list_max(list_transform(regexp_extract_all(text, 'wait ([0-9]+)', 1), lambda e: coalesce(TRY_CAST(e AS BIGINT), 9223372036854775807)))) AS highest_wait FROM s WHERE source_document_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)
 SELECT *, highest_wait > lowest_limit AS conflict FROM b WHERE lowest_limit IS NOT NULL AND highest_wait IS NOT NULL""",
     "graph_components": f"{_COMPONENTS} SELECT node, component FROM c",
 }

@@ -146,13 +146,13 @@ _B = r"(?:^|[^\p{L}\p{N}_])"
 _IDENT = rf"""x AS (SELECT section_id, concat_ws(chr(10), array_to_string(coalesce(heading_path, []), chr(10)), coalesce(text, '')) AS t, len(coalesce(heading_path, [])) AS nh, coalesce(text, '') AS body FROM s),
 y AS (SELECT section_id, CASE WHEN nh = 0 THEN body ELSE t END AS t FROM x),
 z AS (SELECT section_id, list_filter(list_transform(flatten([
-  regexp_extract_all(t, '`([^`\n]+)`', 1), regexp_extract_all(t, '{_B}\[([A-Za-z_][A-Za-z0-9_.\-]*)\]', 1), regexp_extract_all(t, '(?m)^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*=', 1),
+  regexp_extract_all(t, '`([^`\n]+)`', 1), regexp_extract_all(replace(t, ']', ']]'), '{_B}\[([A-Za-z_][A-Za-z0-9_.\-]*)\]', 1), regexp_extract_all(t, '(?m)^\s*([A-Za-z_][A-Za-z0-9_.\-]*)\s*=', 1),
   list_filter(list_transform(regexp_extract_all(t, '[\p{{L}}\p{{N}}_.]+'), lambda e: regexp_replace(e, '^\.+|\.+$', '', 'g')), lambda e: regexp_full_match(e, '[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+')),
-  regexp_extract_all(t, '{_B}([A-Za-z_][A-Za-z0-9_]*\(\))', 1), list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_.\-]+'), lambda e: regexp_full_match(e, '[A-Za-z0-9_.\-]+\.(?:json|toml|ya?ml|md|py|txt|lock)')),
-  regexp_extract_all(t, '{_B}(/[A-Za-z][A-Za-z0-9_\-]*)', 1), regexp_extract_all(t, '{_B}(--[A-Za-z0-9][A-Za-z0-9_\-]*)', 1),
+  regexp_extract_all(replace(t, ')', '))'), '{_B}([A-Za-z_][A-Za-z0-9_]*\(\))', 1), list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_.\-]+'), lambda e: regexp_full_match(e, '[A-Za-z0-9_.\-]+\.(?:json|toml|ya?ml|md|py|txt|lock)')),
+  regexp_extract_all(replace(t, '-/', '- /'), '{_B}(/[A-Za-z][A-Za-z0-9_\-]*)', 1), regexp_extract_all(t, '{_B}(--[A-Za-z0-9][A-Za-z0-9_\-]*)', 1),
   list_filter(regexp_extract_all(t, {_RUNS}), lambda e: regexp_full_match(e, '[A-Z][A-Z0-9_]{{2,}}')), list_filter(regexp_extract_all(t, {_RUNS}), lambda e: regexp_full_match(e, '[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*')),
   list_filter(regexp_extract_all(t, {_RUNS}), lambda e: regexp_full_match(e, '[a-z][a-z0-9]*(?:_[a-z0-9]+)+') AND regexp_matches(e, '{"|".join(T.WARNING_MARKERS)}')),
-  list_filter({T.STATUS_WORDS!r}, lambda e: list_contains(regexp_extract_all(t, {_RUNS}), e))
+  list_filter({list(T.STATUS_WORDS)!r}, lambda e: list_contains(regexp_extract_all(t, {_RUNS}), e))
 ]), lambda e: {_collapse('e')}), lambda e: e <> '') AS f FROM y)"""
 _LINES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0),
 lines AS (SELECT doc_id, n AS line_no, off AS start_offset, regexp_replace(raw, '\r$', '') AS line FROM (
@@ -182,7 +182,7 @@ SQL = {
     "section_summary": f"WITH {_SQL_SECTIONS} SELECT section_id, {_SUMMARY} AS summary FROM ({_HEAD_LINE})",
     "section_identifiers": f"WITH {_SQL_SECTIONS}, {_IDENT} SELECT section_id, ({_distinct('f')})[1:64] AS identifiers FROM z",
     "section_search_keys": f"WITH {_SQL_SECTIONS}, {_KEYS} SELECT section_id, search_keys FROM keys",
-    "evidence_specific_terms": f"SELECT candidate_id, list_filter(coalesce(evidence_terms, []), lambda x: x IS NOT NULL AND length(trim(x, ' ')) >= 4 AND NOT regexp_full_match(trim(x, ' '), '\\p{{Nd}}+') AND NOT list_contains({T.GENERIC_TERMS!r}, lower({_collapse('x')}))) AS terms FROM (SELECT DISTINCT candidate_id, evidence_terms FROM related_section_candidates)",
+    "evidence_specific_terms": f"SELECT candidate_id, list_filter(coalesce(evidence_terms, []), lambda x: x IS NOT NULL AND length(trim(x, ' ')) >= 4 AND NOT regexp_full_match(trim(x, ' '), '\\p{{Nd}}+') AND NOT list_contains({list(T.GENERIC_TERMS)!r}, lower({_collapse('x')}))) AS terms FROM (SELECT DISTINCT candidate_id, evidence_terms FROM related_section_candidates)",
     "section_embedding_text": f"""WITH {_SQL_SECTIONS}, {_KEYS}, b AS (SELECT section_id, heading_path, search_keys, identifiers, trim(coalesce(array_to_string(heading_path, ' / '), ''), ' ') AS h, trim(regexp_extract(coalesce(text, ''), '([^\\s][^\\r\\n]*)', 1), ' ') AS l FROM keys)
 SELECT section_id, array_to_string(list_filter([array_to_string(coalesce(heading_path, []), ' / '), {_SUMMARY}, array_to_string(search_keys[1:8], ', '), array_to_string(coalesce(identifiers, [])[1:8], ', ')], lambda e: e IS NOT NULL AND e <> ''), ' | ') AS embedding_text FROM b""",
     "section_tokens": f"WITH {_SQL_SECTIONS}, {_TOKENS} SELECT section_id, len(tokens) AS n_tokens, sha256(array_to_string(tokens, ' ')) AS tokens_hash FROM tok",
@@ -198,8 +198,8 @@ b AS (SELECT c.candidate_id, list_filter(c.evidence_terms, lambda t: t IS NOT NU
 h AS (SELECT candidate_id, len(terms) AS terms, len(list_filter(terms, lambda t: contains(corpus, t))) AS found FROM b)
 SELECT candidate_id, terms, found, CASE WHEN terms > 0 THEN round(found / terms, 6) ELSE 0.0 END AS score FROM h""",
     "section_sparse": f"WITH {_SQL_SECTIONS}, {_TOKENS} SELECT section_id, CAST(('0x' || substring(sha256(token), 1, 8)) AS BIGINT) AS token_id, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT section_id, unnest(tokens) AS token FROM tok) GROUP BY ALL",
-    "section_dense": f"""WITH {_SQL_SECTIONS}, {_TOKENS} SELECT section_id, CAST(CAST(('0x' || substring(sha256(token), 1, 8)) AS BIGINT) % 64 AS INTEGER) AS slot,
-CAST(sum(CASE WHEN CAST(('0x' || substring(sha256(token), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS value FROM (SELECT section_id, unnest(tokens) AS token FROM tok) GROUP BY 1, 2 HAVING value <> 0""",
+    "section_dense": f"""SELECT section_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY section_id)), 6) AS value FROM (WITH {_SQL_SECTIONS}, {_TOKENS} SELECT section_id, CAST(CAST(('0x' || substring(sha256(token), 1, 8)) AS BIGINT) % 64 AS INTEGER) AS slot,
+CAST(sum(CASE WHEN CAST(('0x' || substring(sha256(token), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM (SELECT section_id, unnest(tokens) AS token FROM tok) GROUP BY 1, 2 HAVING v <> 0)""",
     "vector_sparse_normal": """WITH v AS (SELECT DISTINCT stable_chunk_uid, sparse_indices, sparse_values FROM section_vectors),
 p AS (SELECT stable_chunk_uid, sparse_indices, sparse_values, unnest(sparse_indices) AS token_id, unnest(sparse_values) AS w FROM v)
 SELECT stable_chunk_uid, token_id, round(sum(CAST(w AS DOUBLE)), 6) AS weight FROM p WHERE token_id IS NOT NULL AND w IS NOT NULL AND isfinite(w) GROUP BY stable_chunk_uid, sparse_indices, sparse_values, token_id HAVING sum(CAST(w AS DOUBLE)) <> 0""",

@@ -22,25 +22,34 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one ``spark.checkpoint.dir`` names, or the context's checkpoint folder.
 
-    The folder is the one the cluster shares. A folder of our own is set only
-    where the session names none, as in single-machine tests.
+    Where none is set, a temporary folder serves on a single machine; a cluster
+    has to name one.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="docloom-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the folder all executors share."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it comes from fewer files than the cluster has cores.
+    """``df`` over all cores, if its scan has fewer splits than the cluster has cores.
 
-    A file is one task where it has one row group, which leaves expensive maps
-    to a few cores on small inputs. Tables of many files stay as they are: no
-    shuffle.
+    Splits follow from bytes (``spark.sql.files.maxPartitionBytes``), so only
+    tables of less than a split per core are shuffled, however few or large
+    their files are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(2 * cores) if 0 < files < cores else df
+    return df.repartition(2 * cores) if 0 < df.rdd.getNumPartitions() < cores else df

@@ -1,22 +1,21 @@
 """The change operators on Structured Streaming.
 
-State and output live under a folder all executors share: the one named by
-``spark.checkpoint.dir``, or a folder of our own where none is set.
+State and output live under the folder all executors share (``session.shared_folder``).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import session
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="docloom-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, data_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
