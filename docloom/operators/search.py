@@ -1,10 +1,10 @@
 """Top-k search: dense, sparse, BM25, and their fusion by reciprocal ranks.
 
-Queries are a stated set; rows are a table of any size. Sparse and BM25 search
-join query terms with row terms. Dense search multiplies the matrix of the
-queries with blocks of rows in Arrow batches and keeps the best per block, so
-what leaves a task is k rows per query and batch. Queries are broadcast only
-while they are small; a larger set is searched in groups, one pass each.
+Queries are a stated set; rows are a table of any size. Scores are computed
+where the rows are: a task multiplies its rows, in Arrow batches, with the
+matrix of the queries, and keeps the k best rows of every query, which are all
+that is shuffled. Queries are broadcast only in groups of bounded size; a larger
+set is searched in several passes.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one pass.
-QUERY_ROWS = 20_000
+#: Query vectors in one pass, and queries with terms in one pass.
+QUERY_ROWS, TERM_QUERIES = 20_000, 2_000
+#: Cells of the matrix of rows by query terms that is multiplied at once.
+CELLS = 4_000_000
 
 
 def top_k(hits: DataFrame, k: int, query: str = "query_id", row: str = "row_id", score: str = "score") -> DataFrame:
@@ -29,54 +32,127 @@ def top_k(hits: DataFrame, k: int, query: str = "query_id", row: str = "row_id",
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+class _Best:
+    """The k best (score, row) of every query of a task; ties go to the smaller row."""
+
+    def __init__(self, k: int, queries: int, kind: pa.DataType):
+        self.k, self.kind = k, kind
+        self.bar = np.zeros(queries)  # a row must be above zero, and reach the k-th best so far
+        self.query, self.row, self.score = np.zeros(0, dtype=np.int64), pa.array([], kind), np.zeros(0)
+
+    def add(self, scores: np.ndarray, rows: pa.Array) -> None:
+        """``scores[i, j]``: of query i and rows[j]."""
+        i, j = np.nonzero((scores > 0) & (scores >= self.bar[:, None]))
+        if not len(i):
+            return
+        if len(i) > 4 * self.k * len(self.bar):  # of many rows first the k-th best of each query
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k] if self.k < scores.shape[1] else self.bar
+            i, j = np.nonzero((scores > 0) & (scores >= np.maximum(self.bar, least)[:, None]))
+        query, score = np.concatenate((self.query, i)), np.concatenate((self.score, scores[i, j]))
+        row = pa.concat_arrays([self.row, rows.take(pa.array(j))])
+        order = np.asarray(pc.sort_indices(pa.table({"q": query, "s": score, "r": row}), sort_keys=[("q", "ascending"), ("s", "descending"), ("r", "ascending")]))
+        query = query[order]
+        first = np.searchsorted(query, np.arange(len(self.bar)))
+        keep = np.arange(len(query)) - first[query] < self.k
+        order = order[keep]
+        self.query, self.score, self.row = query[keep], score[order], row.take(pa.array(order))
+        count = np.bincount(self.query, minlength=len(self.bar))
+        full = np.flatnonzero(count == self.k)
+        self.bar[full] = self.score[np.cumsum(count)[full] - 1]
+
+    def hits(self, names: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names.take(pa.array(self.query)), self.row, pa.array(self.score)], names=["query_id", "row_id", "score"])
+
+
+def _passes(queries: DataFrame, size: int) -> Iterator[pa.Table]:
+    """The rows of ``queries`` in groups of about ``size`` query_ids, chosen by hash."""
+    groups = max(1, -(-queries.select("query_id").distinct().count() // size))
+    for g in range(groups):
+        yield (queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)).toArrow()
+
+
+def fitting(vectors: DataFrame, dim: int) -> Column:
+    """Whether ``x`` is a vector of ``dim`` numbers. The others neither ask nor are found; select by its negation to see them."""
+    return F.coalesce((F.size("x") == dim) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, digits: int = 6) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of highest positive cosine.
 
-    ``vectors`` has (row_id, x), ``queries`` (query_id, x), all of one size.
-    Null vectors and those of other sizes are no hits; a zero vector has cosine
-    0. Scores are rounded before they are ranked, so ties are ties everywhere.
+    ``vectors`` has (row_id, x), ``queries`` (query_id, x). Vectors that are not
+    ``fitting`` are no hits and have none; a zero vector has cosine 0. Scores
+    are rounded before they are ranked, so ties are ties everywhere.
     """
     kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["row_id"]
-    usable = queries.where("query_id IS NOT NULL AND x IS NOT NULL").select("query_id", F.col("x").cast("array<double>").alias("x"))
-    groups = max(1, -(-usable.count() // QUERY_ROWS))
+    unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0)
+    matrix = lambda column: np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+    asking = queries.where(F.col("query_id").isNotNull() & fitting(queries, dim)).select("query_id", "x").distinct()
+    fit = vectors.where(fitting(vectors, dim)).select("row_id", "x")
     out = None
-    for g in range(groups):
-        part = usable if groups == 1 else usable.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
-        table = part.toArrow()
-        ids, lists = table.column(0).combine_chunks(), table.column(1).to_pylist()
-        dim = max((len(x) for x in lists), default=0)
-        good = [i for i, x in enumerate(lists) if len(x) == dim and all(v is not None for v in x)]
-        q = np.array([lists[i] for i in good], dtype=np.float64).reshape(-1, dim) if good else np.zeros((0, dim))
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids.take(pa.array(good, pa.int64())), np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
+    for table in _passes(asking, QUERY_ROWS):
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), unit(matrix(table.column(1).combine_chunks()))))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
+            best = None
             for b in batches:
-                for s in range(0, b.num_rows, 4096):
+                best = best or _Best(k, len(q), b.column(0).type)
+                for s in range(0, b.num_rows if len(q) and k > 0 else 0, 4096):
                     rows = b.slice(s, 4096)
-                    x = np.asarray(rows.column(1).flatten(), dtype=np.float64).reshape(-1, dim) if rows.num_rows else np.zeros((0, dim))
-                    if not len(x) or not len(q):
-                        continue
-                    norm = np.linalg.norm(x, axis=1, keepdims=True)
-                    sims = np.round(q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T, digits)
-                    if k < len(x):  # ties with the k-th stay; the ranking decides
-                        bar = np.partition(sims, len(x) - k, axis=1)[:, len(x) - k]
-                        i, j = np.nonzero((sims >= bar[:, None]) & (sims > 0))
-                    else:
-                        i, j = np.nonzero(sims > 0)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), rows.column(0).take(pa.array(j)), pa.array(sims[i, j])], names=["query_id", "row_id", "score"])
-
-        fit = vectors.where((F.size("x") == dim) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))).select("row_id", "x")
+                    best.add(np.round(q @ unit(matrix(rows.column(1))).T, digits), rows.column(0))
+            if best:
+                yield best.hits(names)
+
         hits = fit.mapInArrow(search, f"query_id {kind[0]}, row_id {kind[1]}, score double")
         out = hits if out is None else out.unionByName(hits)
     return top_k(out, k)
 
 
-def sparse_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, row_id, score): products summed over shared tokens, of (row_id, token, weight) and (query_id, token, weight)."""
-    q = queries.select("query_id", "token", F.col("weight").alias("q"))
-    return rows.join(q, "token").groupBy("query_id", "row_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).where("score > 0")
+def term_top_k(rows: DataFrame, queries: DataFrame, k: int, saturate: tuple[float, float, float] | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, row_id, score, rank): the k rows of highest positive sum of products over shared terms.
+
+    ``rows`` has (row_id, terms, weights), two arrays of one length, or
+    (row_id, terms), where each term counts as often as it occurs; ``queries``
+    has (query_id, term, weight), one row per query and term. With
+    ``saturate`` (k1, b, mean) a count n in a row of m terms weighs
+    n (k1 + 1) / (n + k1 (1 - b + b m / mean)). Scores are rounded before they
+    are ranked. Null rows and terms have no score.
+    """
+    kind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["row_id"]
+    weighted = "weights" in rows.columns
+    columns = rows.where("row_id IS NOT NULL AND terms IS NOT NULL").select("row_id", "terms", *(["weights"] if weighted else []))
+    out = None
+    for table in _passes(queries.where("query_id IS NOT NULL AND term IS NOT NULL"), TERM_QUERIES):
+        names, terms = (table.column(i).combine_chunks().dictionary_encode() for i in (0, 1))
+        at = np.asarray(terms.indices, dtype=np.int64), np.asarray(names.indices, dtype=np.int64)
+        shared = rows.sparkSession.sparkContext.broadcast((names.dictionary, terms.dictionary, at, np.asarray(table.column(2).to_numpy(), dtype=np.float64)))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, terms, (t, q), w = shared.value
+            asked = np.zeros((len(terms), len(names)))
+            np.add.at(asked, (t, q), w)
+            best, step = None, max(1, CELLS // max(1, len(terms)))
+            for b in batches:
+                best = best or _Best(k, len(names), b.column(0).type)
+                for s in range(0, b.num_rows if len(names) and k > 0 else 0, step):
+                    part = b.slice(s, step)
+                    lists = part.column(1)
+                    code = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+                    owner = np.repeat(np.arange(len(lengths)), lengths)
+                    value = np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)[code >= 0] if weighted else None
+                    owner, code = owner[code >= 0], code[code >= 0]
+                    n = np.bincount(owner * len(terms) + code, value, minlength=len(lengths) * len(terms)).reshape(len(lengths), len(terms))
+                    if saturate:
+                        k1, fade, mean = saturate
+                        n = n * (k1 + 1) / (n + k1 * (1 - fade + fade * lengths[:, None] / mean))
+                    best.add(np.round((n @ asked).T, digits), part.column(0))
+            if best:
+                yield best.hits(names)
+
+        hits = columns.mapInArrow(search, f"query_id {kind[0]}, row_id {kind[1]}, score double")
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, k)
 
 
 def term_counts(rows: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -90,23 +166,22 @@ def capped_terms(counts: DataFrame, cap: int) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap).drop("place")
 
 
-def bm25_hits(rows: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """(query_id, row_id, score) from (row_id, token, n) and (query_id, token, n).
+def bm25_top_k(rows: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """(query_id, row_id, score, rank) from (row_id, terms) and (query_id, token, n).
 
-    idf is ln(1 + (N - df + .5) / (df + .5)); scores are rounded. Length and
-    document frequency are aggregates of ``rows``; the mean length is one row.
-    Terms of the queries filter the rows before anything else is joined.
+    idf is ln(1 + (N - df + .5) / (df + .5)). Number and mean length of the rows
+    that have terms are one row, and only the asked terms are counted, so the
+    index statistics are aggregates without a shuffle of the rows' terms.
     """
-    lengths = rows.groupBy("row_id").agg(F.sum("n").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    full = rows.where("size(terms) > 0")
+    docs, mean = full.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
+    if not docs:
+        docs, mean = 0, 1.0
     asked = queries.select("token").distinct()
-    mine = rows.join(asked, "token", "left_semi")
-    df = mine.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = queries.select("query_id", "token", F.col("n").alias("qn")).join(df.join(F.broadcast(stats), F.lit(True)).select("token", idf.alias("idf"), "mean"), "token")
-    tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = mine.join(lengths, "row_id").join(weighted, "token").groupBy("query_id", "row_id").agg(F.round(F.sum(F.col("qn") * F.col("idf") * tf), digits).alias("score"))
-    return scored.where("score > 0")
+    df = full.select(F.explode(F.array_distinct("terms")).alias("token")).join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = queries.join(df, "token").select("query_id", F.col("token").alias("term"), (F.col("n") * idf).alias("weight"))
+    return term_top_k(full, weights, k, (k1, b, float(mean)), digits)
 
 
 def fuse(channels: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -118,3 +193,12 @@ def fuse(channels: dict[str, DataFrame], k: int, constant: int = 60) -> DataFram
     pick = lambda c, n: F.max(F.when(F.col("channel") == n, F.col(c))).alias(f"{n}_{c}")
     fused = merged.groupBy("query_id", "row_id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), *[pick(c, n) for n in channels for c in ("rank", "score")])
     return top_k(fused, k)
+
+
+def dense_gate(fused: DataFrame, least: float, k: int) -> DataFrame:
+    """The first ``k`` hits of every query whose dense score reaches ``least``; a hit the dense channel did not find is not gated.
+
+    Hits of a query with itself are left out before they are counted.
+    """
+    other = fused.where("query_id <> row_id").where(F.col("dense_score").isNull() | (F.col("dense_score") >= least))
+    return top_k(other.drop("rank"), k)

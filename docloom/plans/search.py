@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -16,7 +16,7 @@ _C = F.col
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     sections = table(spark, d, "sections").where("section_id IS NOT NULL AND text IS NOT NULL").select("section_id", "text").distinct()
-    return S.term_counts(sections.withColumnRenamed("section_id", "row_id"), "row_id", T.tokens(_C("text")))
+    return sections.select(_C("section_id").alias("row_id"), T.tokens(_C("text")).alias("terms"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -25,12 +25,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_search(spark: SparkSession, d: str) -> DataFrame:
-    weights = lambda df: df.withColumn("weight", _C("n").cast("double"))
-    return S.top_k(S.sparse_hits(weights(_rows(spark, d)), weights(_queries(spark, d))), 20)
+    weights = _queries(spark, d).select("query_id", _C("token").alias("term"), _C("n").cast("double").alias("weight"))
+    return S.term_top_k(_rows(spark, d), weights, 20)
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return S.top_k(S.bm25_hits(_rows(spark, d), S.capped_terms(_queries(spark, d), 80)), 12)
+    return S.bm25_top_k(_rows(spark, d), S.capped_terms(_queries(spark, d), 80), 12)
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +45,34 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
 def dense_search(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all vectors."""
     rows = _embeddings(spark, d)
-    return S.dense_top_k(rows, rows.where("row_id % 100 = 0").select(_C("row_id").alias("query_id"), "x"), 12)
+    return S.dense_top_k(rows, rows.where("row_id % 100 = 0").select(_C("row_id").alias("query_id"), "x"), 12, 64)
+
+
+def _asks(uid: str) -> Column:
+    """Whether the id, a hexadecimal number, is divisible by 100 in its first eight digits."""
+    return F.pmod(F.conv(F.substring(uid, 1, 8), 16, 10).cast("long"), F.lit(100)) == 0
 
 
 def section_vector_search(spark: SparkSession, d: str) -> DataFrame:
     """Every section vector whose id hash is divisible by 100 against all section vectors."""
     v = table(spark, d, "section_vectors").select(_C("stable_chunk_uid").alias("row_id"), _C("dense").alias("x")).where("size(x) = 64").distinct()
-    return S.dense_top_k(v, v.where(F.pmod(F.conv(F.substring("row_id", 1, 8), 16, 10).cast("long"), F.lit(100)) == 0).select(_C("row_id").alias("query_id"), "x"), 12)
+    return S.dense_top_k(v, v.where(_asks("row_id")).select(_C("row_id").alias("query_id"), "x"), 12, 64)
+
+
+def section_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and sparse channel of every section vector whose id hash is divisible by 100 against all of them, fused."""
+    v = table(spark, d, "section_vectors").where("stable_chunk_uid IS NOT NULL").select("stable_chunk_uid", "dense", "sparse_indices", "sparse_values").distinct()
+    dense = v.select(_C("stable_chunk_uid").alias("row_id"), _C("dense").alias("x")).where("size(x) = 64")
+    pairs = V.normal_sparse(_C("sparse_indices"), _C("sparse_values"))
+    sparse = v.select(_C("stable_chunk_uid").alias("row_id"), pairs.alias("p")).where("size(p) > 0").select("row_id", _C("p.index").alias("terms"), _C("p.value").alias("weights"))
+    asked = sparse.where(_asks("row_id")).select(_C("row_id").alias("query_id"), F.explode(F.arrays_zip("terms", "weights")).alias("p")).select("query_id", _C("p.terms").alias("term"), _C("p.weights").alias("weight"))
+    channels = {"dense": S.dense_top_k(dense, dense.where(_asks("row_id")).select(_C("row_id").alias("query_id"), "x"), 32, 64), "sparse": S.term_top_k(sparse, asked, 32)}
+    return S.fuse(channels, 17)
+
+
+def section_dense_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid hits of a section vector with others, those of a known dense score below 0.55 left out."""
+    return S.dense_gate(section_hybrid(spark, d), 0.55, 8)
 
 
 def candidate_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +85,7 @@ def candidate_similarity(spark: SparkSession, d: str) -> DataFrame:
     return both.select("source_section_id", "target_section_id", F.when(~F.isnan(value), F.round(value, 5)).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (sparse_search, bm25_search, hybrid_search, dense_search, section_vector_search, candidate_similarity)}
+QUERIES = {f.__name__: f for f in (sparse_search, bm25_search, hybrid_search, dense_search, section_vector_search, section_hybrid, section_dense_gate, candidate_similarity)}
 
 _TOK = lambda name, source, key: rf"""{name}_x AS (SELECT {key} AS id, replace(lower(text), '　', ' ') AS x FROM {source}),
 {name} AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(list_concat(regexp_extract_all(x, '{T.TOKEN}'), flatten(list_transform(regexp_extract_all(x, '[{T.CJK}]{{3,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))))) AS token FROM {name}_x) GROUP BY ALL)"""
@@ -80,7 +101,21 @@ bm AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM (
 _VEC = lambda rows, query: f"""WITH v AS ({rows}), h AS (SELECT a.row_id AS query_id, b.row_id, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM v a JOIN v b ON true WHERE {query})
 SELECT query_id, row_id, score, rank FROM (SELECT *, {_RANK} AS rank FROM h WHERE score > 0) WHERE rank <= 12"""
 
+_HYBRID = f"""WITH v AS (SELECT DISTINCT stable_chunk_uid AS id, CAST(dense AS DOUBLE[]) AS x, sparse_indices AS si, sparse_values AS sv, CAST('0x' || substring(stable_chunk_uid, 1, 8) AS BIGINT) % 100 = 0 AS asks FROM section_vectors WHERE stable_chunk_uid IS NOT NULL),
+dv AS (SELECT DISTINCT id, x, asks FROM v WHERE len(x) = 64 AND len(list_filter(x, lambda e: e IS NULL OR isnan(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+dh AS (SELECT a.id AS query_id, b.id AS row_id, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM dv a JOIN dv b ON a.asks),
+d AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM dh WHERE score > 0) WHERE rank <= 32),
+sp AS (SELECT id, asks, si, sv, unnest(si) AS t, CAST(unnest(sv) AS DOUBLE) AS w FROM v),
+sw AS (SELECT id, asks, t, sum(w) AS w FROM sp WHERE t IS NOT NULL AND w IS NOT NULL AND isfinite(w) GROUP BY id, asks, si, sv, t HAVING sum(w) <> 0),
+sh AS (SELECT a.id AS query_id, b.id AS row_id, round(sum(a.w * b.w), 6) AS score FROM sw a JOIN sw b ON a.asks AND a.t = b.t GROUP BY ALL),
+s AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM sh WHERE score > 0) WHERE rank <= 32),
+f AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.row_id, s.row_id) AS row_id, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) AS score,
+  d.rank AS dense_rank, d.score AS dense_score, s.rank AS sparse_rank, s.score AS sparse_score FROM d FULL JOIN s ON d.query_id = s.query_id AND d.row_id = s.row_id),
+hy AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM f) WHERE rank <= 17)"""
+
 SQL = {
+    "section_hybrid": f"{_HYBRID} SELECT * FROM hy",
+    "section_dense_gate": f"""{_HYBRID} SELECT * FROM (SELECT * EXCLUDE (rank), {_RANK} AS rank FROM hy WHERE query_id <> row_id AND (dense_score IS NULL OR dense_score >= 0.55)) WHERE rank <= 8""",
     "sparse_search": f"WITH {_BASE}, {_SPARSE} SELECT * FROM sp",
     "bm25_search": f"WITH {_BASE}, {_BM25} SELECT * FROM bm",
     "hybrid_search": f"""WITH {_BASE}, {_SPARSE}, {_BM25},

@@ -19,16 +19,16 @@ def test_dense_against_brute_force(spark, monkeypatch):
     queries = rows.where("row_id in (0, 5, 77)").select(rows.row_id.alias("query_id"), "x")
     n = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(q, i) for q in (0, 5, 77) for i in sorted((i for i in range(300) if round(float(n[q] @ n[i]), 6) > 0), key=lambda i: (-round(float(n[q] @ n[i]), 6), i))[:7]}
-    assert {(r.query_id, r.row_id) for r in S.dense_top_k(rows, queries, 7).collect()} == want
+    assert {(r.query_id, r.row_id) for r in S.dense_top_k(rows, queries, 7, 6).collect()} == want
     monkeypatch.setattr(S, "QUERY_ROWS", 2)
-    assert {(r.query_id, r.row_id) for r in S.dense_top_k(rows, queries, 7).collect()} == want
-    assert S.dense_top_k(rows, queries, 0).count() == 0 and S.dense_top_k(rows, queries.limit(0), 3).count() == 0 and S.dense_top_k(rows.limit(0), queries, 3).count() == 0
+    assert {(r.query_id, r.row_id) for r in S.dense_top_k(rows, queries, 7, 6).collect()} == want
+    assert S.dense_top_k(rows, queries, 0, 6).count() == 0 and S.dense_top_k(rows, queries.limit(0), 3, 6).count() == 0 and S.dense_top_k(rows.limit(0), queries, 3, 6).count() == 0
 
 
 def test_bm25_against_brute_force(spark):
     docs = {"a": "x x y", "b": "y z", "c": "z z z w", "d": "q"}
     query = {"x": 1, "z": 2, "nope": 1}
-    rows = spark.createDataFrame([(d, t, docs[d].split().count(t)) for d in docs for t in set(docs[d].split())], "row_id string, token string, n long")
+    rows = spark.createDataFrame([(d, docs[d].split(), "c") for d in docs] + [("e", [], "c"), ("f", None, "c")], "row_id string, terms array<string>, rank string")
     q = spark.createDataFrame([(1, t, n) for t, n in query.items()], "query_id int, token string, n long")
     mean = sum(len(v.split()) for v in docs.values()) / 4
     want = {}
@@ -40,7 +40,35 @@ def test_bm25_against_brute_force(spark):
                 s += qn * math.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(text.split()) / mean))
         if s > 0:
             want[d] = round(s, 6)
-    assert {r.row_id: r.score for r in S.bm25_hits(rows, q).collect()} == want
+    assert {r.row_id: r.score for r in S.bm25_top_k(rows, q, 9).collect()} == want
+    assert S.bm25_top_k(rows.limit(0), q, 9).count() == 0 and S.bm25_top_k(rows, q.limit(0), 9).count() == 0
+
+
+def test_terms_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELLS", 40)
+    monkeypatch.setattr(S, "TERM_QUERIES", 3)
+    rng = random.Random(4)
+    docs = {f"r{i:03d}": [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for i in range(200)}
+    asked = {q: {t: rng.randint(1, 3) for t in rng.sample("abcdefgh", 3)} for q in range(8)}
+    rows = spark.createDataFrame([(k, v + [None]) for k, v in docs.items()] + [("null", None), (None, ["a"])], "row_id string, terms array<string>").repartition(5)
+    queries = spark.createDataFrame([(q, t, float(w)) for q, own in asked.items() for t, w in own.items()], "query_id int, term string, weight double")
+    want = {(q, r, n + 1) for q, own in asked.items() for n, (_, r) in enumerate(sorted((-sum(own.get(t, 0) for t in v), r) for r, v in docs.items() if any(t in own for t in v))[:6])}
+    assert {(r.query_id, r.row_id, r["rank"]) for r in S.term_top_k(rows, queries, 6).collect()} == want
+    weighted = spark.createDataFrame([("x", [1, 2], [0.5, 2.0]), ("y", [2, 3], [1.0, -4.0])], "row_id string, terms array<int>, weights array<double>")
+    got = S.term_top_k(weighted, spark.createDataFrame([(7, 2, 3.0), (7, 3, 1.0)], "query_id int, term int, weight double"), 5).collect()
+    assert [(r.row_id, r.score) for r in got] == [("x", 6.0)]
+
+
+def test_dense_vectors_of_other_sizes_do_not_decide_for_the_rest(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "row_id int, x array<double>")
+    queries = rows.selectExpr("row_id AS query_id", "x")
+    assert {(r.query_id, r.row_id) for r in S.dense_top_k(rows, queries, 3, 2).collect()} == {(1, 1), (2, 2)}
+    assert [r.query_id for r in queries.where(~S.fitting(queries, 2)).collect()] == [3]
+
+
+def test_dense_gate_keeps_hits_without_a_dense_score(spark):
+    hits = spark.createDataFrame([("q", "q", 0.9, 1.0, 1), ("q", "a", 0.8, 0.5, 2), ("q", "b", 0.7, None, 3), ("q", "c", 0.6, 0.6, 4), ("q", "d", 0.5, 0.9, 5)], "query_id string, row_id string, score double, dense_score double, rank int")
+    assert [(r.row_id, r["rank"]) for r in S.dense_gate(hits, 0.55, 2).orderBy("rank").collect()] == [("b", 1), ("c", 2)]
 
 
 def test_fusion_ranks_and_ties(spark):
