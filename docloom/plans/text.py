@@ -158,13 +158,24 @@ _LINES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
 lines AS (SELECT doc_id, n AS line_no, off AS start_offset, regexp_replace(raw, '\r$', '') AS line FROM (
   SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS follows FROM raw)
   WHERE follows IS NOT NULL OR raw <> '')"""
-_MD = rf"""{_LINES},
-f AS (SELECT *, (count(*) FILTER (regexp_matches(line, '{M._FENCE}')) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 1 OR regexp_matches(line, '{M._FENCE}') AS in_code FROM lines),
+# fenced code by a walk over the lines that look like fences, one after the other
+_CODE = r"""fl AS (SELECT doc_id, line_no, regexp_extract(line, '^ *([`~]+)', 1) AS run, trim(replace(regexp_extract(line, '^ *[`~]+(.*)$', 1), chr(9), ' '), ' ') AS info, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k
+  FROM lines WHERE regexp_matches(line, '^ {0,3}(```|~~~)')),
+fr AS (SELECT doc_id, line_no, k, CASE WHEN run[1] = '`' THEN regexp_extract(run, '^`+') ELSE regexp_extract(run, '^~+') END AS run, CASE WHEN run[1] = '`' THEN regexp_replace(run, '^`+', '') ELSE regexp_replace(run, '^~+', '') END || info AS info FROM fl),
+walk AS (SELECT doc_id, 0 AS k, 0 AS line_no, '' AS open, '' AS kind FROM (SELECT DISTINCT doc_id FROM fr)
+  UNION ALL SELECT fr.doc_id, fr.k, fr.line_no,
+    CASE WHEN open = '' AND (fr.run[1] = '~' OR position('`' IN fr.info) = 0) THEN fr.run WHEN open <> '' AND fr.run[1] = open[1] AND length(fr.run) >= length(open) AND fr.info = '' THEN '' ELSE open END,
+    CASE WHEN open = '' AND (fr.run[1] = '~' OR position('`' IN fr.info) = 0) THEN 'opens' WHEN open <> '' AND fr.run[1] = open[1] AND length(fr.run) >= length(open) AND fr.info = '' THEN 'closes' ELSE '' END
+  FROM walk JOIN fr ON fr.doc_id = walk.doc_id AND fr.k = walk.k + 1),
+f AS (SELECT l.*, coalesce(sum(CASE kind WHEN 'opens' THEN 1 WHEN 'closes' THEN -1 END) OVER (PARTITION BY l.doc_id ORDER BY l.line_no), 0) > 0 OR coalesce(kind, '') = 'closes' AS in_code FROM lines l LEFT JOIN walk ON walk.doc_id = l.doc_id AND walk.line_no = l.line_no)"""
+_ATX_SQL, _SETEXT_SQL = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", r"^ {0,3}(?:=+|-+)[ \t]*$"
+_NOT_TEXT_SQL = r"^[ \t]*$|^ {0,3}(?:#{1,6}(?:[ \t]|$)|[-*+][ \t]|[0-9]{1,9}[.)][ \t]|\||>|```|~~~|=+[ \t]*$|-+[ \t]*$)"
+_MD = rf"""{_LINES}, {_CODE},
 g AS (SELECT *, lead(line) OVER w AS nl, lead(in_code) OVER w AS nc, lag(line) OVER w AS pl, lag(in_code) OVER w AS pc FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-h AS (SELECT *, NOT in_code AND regexp_matches(line, '{M._ATX}') AS atx,
-  NOT in_code AND NOT regexp_matches(line, '{M._NO_TEXT}') AND (pl IS NULL OR pc OR regexp_matches(pl, '{M._NO_TEXT}')) AND NOT coalesce(nc, true) AND coalesce(regexp_matches(nl, '{M._SETEXT}'), false) AS setext FROM g),
-l0 AS (SELECT *, CASE WHEN atx THEN length(regexp_extract(line, '{M._ATX}', 1)) WHEN setext THEN CASE WHEN regexp_matches(nl, '^ {{0,3}}=') THEN 1 ELSE 2 END END AS lv FROM h),
-l1 AS (SELECT doc_id, line_no, line, CASE WHEN lv <= 4 THEN lv END AS level, CASE WHEN lv <= 4 THEN trim(CASE WHEN atx THEN regexp_extract(line, '{M._ATX}', 2) ELSE line END, ' ') END AS heading, setext FROM l0),
+h AS (SELECT *, NOT in_code AND regexp_matches(line, '{_ATX_SQL}') AS atx,
+  NOT in_code AND NOT regexp_matches(line, '{_NOT_TEXT_SQL}') AND (pl IS NULL OR pc OR regexp_matches(pl, '{_NOT_TEXT_SQL}')) AND NOT coalesce(nc, true) AND coalesce(regexp_matches(nl, '{_SETEXT_SQL}'), false) AS setext FROM g),
+l0 AS (SELECT *, CASE WHEN atx THEN length(regexp_extract(line, '{_ATX_SQL}', 1)) WHEN setext THEN CASE WHEN regexp_matches(nl, '^ {{0,3}}=') THEN 1 ELSE 2 END END AS lv FROM h),
+l1 AS (SELECT doc_id, line_no, line, CASE WHEN lv <= 4 THEN lv END AS level, CASE WHEN lv <= 4 THEN trim(CASE WHEN atx THEN regexp_extract(line, '{_ATX_SQL}', 2) ELSE line END, ' ') END AS heading, setext FROM l0),
 l2 AS (SELECT *, coalesce(lag(setext AND level IS NOT NULL) OVER w, false) AS underline, count(level) OVER w AS ordinal, count(level) OVER (PARTITION BY doc_id) AS total,
   {", ".join(f"last_value(CASE WHEN level = {n} THEN line_no END IGNORE NULLS) OVER w AS a{n}, last_value(CASE WHEN level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}" for n in range(1, 5))}
   FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
@@ -204,12 +215,12 @@ CAST(sum(CASE WHEN CAST(('0x' || substring(sha256(token), 9, 2)) AS BIGINT) % 2
 p AS (SELECT stable_chunk_uid, sparse_indices, sparse_values, unnest(sparse_indices) AS token_id, unnest(sparse_values) AS w FROM v)
 SELECT stable_chunk_uid, token_id, round(sum(CAST(w AS DOUBLE)), 6) AS weight FROM p WHERE token_id IS NOT NULL AND w IS NOT NULL AND isfinite(w) GROUP BY stable_chunk_uid, sparse_indices, sparse_values, token_id HAVING sum(CAST(w AS DOUBLE)) <> 0""",
     "document_lines": f"WITH {_LINES} SELECT doc_id, line_no, start_offset, length(line) AS n_chars FROM lines",
-    "markdown_sections": f"WITH {_MD} SELECT doc_id, ordinal, level, heading, heading_path, start_line, end_line, source_hash, semantic_hash, coalesce(root_id, section_id0) AS section_id, stable_section_uid FROM done",
-    "markdown_chapters": f"""WITH {_MD}, c AS (SELECT doc_id, CASE WHEN len(heading_path) > 0 THEN {_slug('heading_path[1]')} ELSE 'document' END AS chapter, ordinal, coalesce(root_id, section_id0) AS section_id FROM done)
+    "markdown_sections": f"WITH RECURSIVE {_MD} SELECT doc_id, ordinal, level, heading, heading_path, start_line, end_line, source_hash, semantic_hash, coalesce(root_id, section_id0) AS section_id, stable_section_uid FROM done",
+    "markdown_chapters": f"""WITH RECURSIVE {_MD}, c AS (SELECT doc_id, CASE WHEN len(heading_path) > 0 THEN {_slug('heading_path[1]')} ELSE 'document' END AS chapter, ordinal, coalesce(root_id, section_id0) AS section_id FROM done)
 SELECT doc_id, chapter, count(*) AS sections, min(ordinal) AS first, sha256(string_agg(section_id, chr(10) ORDER BY ordinal)) AS members_hash FROM c GROUP BY ALL""",
     "section_point_ids": """WITH h AS (SELECT section_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(section_id)) AS x FROM (SELECT DISTINCT section_id FROM sections WHERE section_id IS NOT NULL))
 SELECT section_id, concat_ws('-', substring(x, 1, 8), substring(x, 9, 4), '5' || substring(x, 14, 3), substring('89ab', CAST(CAST('0x' || substring(x, 17, 1) AS INTEGER) % 4 + 1 AS BIGINT), 1) || substring(x, 18, 3), substring(x, 21, 12)) AS point_id FROM h""",
-    "document_structure": f"""WITH {_LINES}, f AS (SELECT *, (count(*) FILTER (regexp_matches(line, '{M._FENCE}')) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 1 OR regexp_matches(line, '{M._FENCE}') AS in_code FROM lines),
+    "document_structure": f"""WITH RECURSIVE {_LINES}, {_CODE},
 p AS (SELECT doc_id, line_no, CASE WHEN in_code THEN 'code:' || line ELSE {_collapse('line')} END AS part FROM f)
 SELECT doc_id, count(*) AS lines, sha256(string_agg(part, chr(10) ORDER BY line_no)) AS structure_hash FROM p WHERE part <> '' GROUP BY doc_id""",
     "document_links": r"""SELECT doc_id, position - 1 AS position, label, target FROM (

@@ -105,3 +105,40 @@ def test_line_chunks():
 def test_chunks_of_dirty_sections(spark):
     df = spark.createDataFrame([("a", "one\ntwo\n", 1), ("b", None, 1), ("c", " \n", 1)], "section_id string, text string, chunk int")
     assert [(r.section_id, r.chunk) for r in chunks.chunk_sections(df).collect()] == [("a", "one\ntwo")]
+
+
+def heads(spark, text):
+    rows = M.sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("ordinal").collect()
+    return [r.heading for r in rows if r.heading]
+
+
+def test_fences_close_by_their_own_character_and_length(spark):
+    assert heads(spark, "# A\n~~~\n```\n# code\n~~~\n# B") == ["A", "B"]
+    assert heads(spark, "# A\n````\n```\n# code\n```\n# code\n````\n# B") == ["A", "B"]
+    assert heads(spark, "# A\n```py\n# code\n``` x\n# code\n```  \n# B") == ["A", "B"]
+    assert heads(spark, "# A\n``` a`b\n# B\n    ```\n# C") == ["A", "B", "C"]
+    assert heads(spark, "# A\n~~~ x`y\r\n# code\r\n~~~~\r\n# B\n```\n# open") == ["A", "B"]
+
+
+def test_links_and_where_they_lead(spark):
+    text = '[a](x.md)[b](#S "t") ![i](p.png) [c](https://e.org/x) [d\n](no) \\ [e](../y%20z.md#h)'
+    got = [(r.label, r.target) for r in M.links(spark.createDataFrame([("k", text)], "key string, text string"), "key", "text").collect()]
+    assert got == [("a", "x.md"), ("b", "#S"), ("c", "https://e.org/x"), ("e", "../y%20z.md#h")]
+    place = lambda doc, target: one(spark, M.link_place(lit(doc), lit(target)))
+    assert tuple(place("d/e/f.md", "../y%20z.md#h")) == ("d/y z.md", "h")
+    assert tuple(place("d/f.md", "#s")) == ("d/f.md", "s") and tuple(place("f.md", "./g.md?x=1")) == ("g.md", "")
+    assert tuple(place("d/f.md", "/a//b/./c.md")) == ("a/b/c.md", "") and tuple(place("d/f.md", "../../../g+h.md")) == ("g+h.md", "")
+    assert place("d/f.md", "https://e.org/x") is None and place("d/f.md", "mailto:x@y") is None and tuple(place("d/f.md", "100%.md")) == ("d/100%.md", "")
+
+
+def test_links_resolve_by_id_slug_and_document(spark):
+    sections = spark.createDataFrame([("d/a.md#0001-one", "d/a.md", 1, "One"), ("d/a.md#0002-two", "d/a.md", 2, "Two"), ("d/a.md#0003-two", "d/a.md", 3, "Two"), (None, "d/b.md", 1, "x"), ("d/a.md#0001-one", "d/a.md", 1, "One")], "section_id string, document_id string, ordinal int, heading string")
+    targets = ["a.md", "#0002-two", "a.md#two", "a.md#TWO", "a.md#gone", "b.md", "c.md#x", "http://x#y", None]
+    found = spark.createDataFrame([("s", "d/a.md", i, "t", x) for i, x in enumerate(targets)], "source_id string, document_id string, position int, label string, target string")
+    got = {r.position: r.target_id for r in M.resolve_links(found, sections).collect()}
+    assert got == {0: "d/a.md#0001-one", 1: "d/a.md#0002-two", 2: "d/a.md#0003-two", 3: "d/a.md#0003-two", 4: None, 5: None, 6: None, 7: None, 8: None}
+
+
+def test_adjacent_identifiers(spark):
+    got = one(spark, T.identifiers(lit([]), lit("[a][b] f()g() /x-/y")))
+    assert {"a", "b", "f()", "g()", "/x-", "/y"} <= set(got)
