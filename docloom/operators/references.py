@@ -172,13 +172,13 @@ def apply_deltas(state: DataFrame, deltas: DataFrame) -> DataFrame:
 
     Keys whose two counts fall to zero leave the state.
     """
-    return (
-        state.select("ref_id", "refs", "existing")
-        .unionByName(deltas.select("ref_id", "refs", "existing"))
-        .groupBy("ref_id")
-        .agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
-        .where("refs <> 0 OR existing <> 0")
-    )
+    return summed(state, deltas).where("refs <> 0 OR existing <> 0")
+
+
+def summed(state: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The counts of a state with those of deltas, zeros kept."""
+    columns = ("ref_id", "refs", "existing")
+    return state.select(*columns).unionByName(deltas.select(*columns)).groupBy("ref_id").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
 
 
 def current_orphans(state: DataFrame) -> DataFrame:

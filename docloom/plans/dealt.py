@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import references as R
 from docloom.operators import snapshots as S
 from docloom.sources.tables import table
+from docloom.streaming import changes as X
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +27,11 @@ def p1_current(spark: SparkSession, d: str) -> DataFrame:
     return R.current_orphans(R.reference_state(_references(spark, d), table(spark, d, "sections")))
 
 
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p1_current``, from counts maintained by change deltas over streams of the tables."""
+    return X.maintained_orphans(spark, d)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return S.snapshot_changes(table(spark, d, "section_snapshots"))
 
@@ -74,7 +80,7 @@ events AS (
   WHERE NOT EXISTS (SELECT 1 FROM rows_ c WHERE c.no = n.no AND c.section_id = p.section_id)
 )"""
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_current": p1_current, "p2_found": p2_found, "p2_intervals": p2_intervals, "p2_counts": p2_counts}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_current": p1_current, "p1_incremental": p1_incremental, "p2_found": p2_found, "p2_intervals": p2_intervals, "p2_counts": p2_counts}
 
 SQL = {
     "p1_found": f"{_ORPHANS} SELECT DISTINCT ref_table, record_id, ref_field, ref_id FROM orphans",
@@ -90,3 +96,4 @@ SELECT i.section_id, first_no, last_no, opened_by, e.snapshot_no AS gone_at
 FROM islands i LEFT JOIN numbers n ON n.before = i.last_no LEFT JOIN events e ON e.change_kind = 'removed' AND e.section_id = i.section_id AND e.snapshot_no = n.no""",
     "p2_counts": f"{_SNAPSHOTS} SELECT snapshot_no, change_kind, count(*) AS n FROM events GROUP BY ALL",
 }
+SQL["p1_incremental"] = SQL["p1_current"]

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -75,3 +77,35 @@ def test_late_rows_reach_closed_windows(spark, tmp_path):
     for k in range(18):  # more than two batches: the second batch is still held against the watermark before the first
         spark.sql(f"SELECT TIMESTAMP_NTZ'2025-01-01' + make_dt_interval({(17 - k) * 3}) AS ts, 'a' AS event_type, 1.0D AS value").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     assert sum(r.n for r in graph.stream_windows(spark, str(tmp_path)).collect()) == 17
+
+
+def test_maintained_orphans_over_many_batches_of_repeated_rows(spark, tmp_path):
+    from docloom.operators import references as R
+    from docloom.streaming import changes as X
+
+    refs = [(i, f"s{i % 9}", f"s{i % 13}", dt.datetime(2025, 1, 1 + i % 20)) for i in range(60)]
+    lives = [(f"s{k}", dt.datetime(2025, 1, 2), None if k % 2 else dt.datetime(2025, 1, 5)) for k in range(8)] + [(None, None, None), ("s9", None, None)]
+    candidates = spark.createDataFrame(refs + refs[:20], "candidate_id long, source_section_id string, target_section_id string, generated_at timestamp")
+    sections = spark.createDataFrame(lives + lives[:4], "section_id string, ingested_at timestamp, deleted_at timestamp")
+    items = spark.createDataFrame([("c1", None, [("r", "s1"), ("r", None)], ("s3", "gone"), [" ", "s12"])] * 2, "conflict_id string, created_at timestamp, source_refs array<struct<source_ref string, source_section_id string>>, section_pair struct<left_section_id string, right_section_id string>, related_sections array<string>")
+    for name, df in (("related_section_candidates", candidates), ("sections", sections), ("conflict_review_items", items)):
+        df.repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.ref_id, r.refs) for r in X.maintained_orphans(spark, str(tmp_path), files_per_batch=1).collect()}
+    want = R.current_orphans(R.reference_state(R.candidate_references(candidates).unionByName(R.conflict_references(items)), sections))
+    assert got == {(r.ref_id, r.refs) for r in want.collect()} and ("gone", 1) in got
+
+
+def test_a_repeated_batch_changes_nothing_and_buckets_keep_two_slots(spark, tmp_path):
+    from docloom.streaming.state import BucketedState
+
+    state = BucketedState(spark, str(tmp_path), "k", "k string, n bigint", buckets=4)
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, n bigint")
+    state.merge(rows(("a", 1), ("b", 1)), 0, add)
+    for _ in range(2):
+        state.merge(rows(("a", 5), ("c", 2)), 1, add)
+    state.merge(rows(), 2, add)
+    state.merge(rows(("a", 1)), 3, add)
+    assert {(r.k, r.n) for r in state.rows(3).collect()} == {("a", 7), ("b", 1), ("c", 2)}
+    assert {(r.k, r.n) for r in state.rows(0).collect()} <= {("a", 1), ("b", 1), ("a", 7)}
+    assert all(len(list(b.glob("slot=*"))) <= 2 for b in (tmp_path / "rows").glob("bucket=*"))
