@@ -89,6 +89,31 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.bool_or("up").alias("x"), F.bool_or(~F.col("up")).alias("y")).where("x AND y").select("a", "b")
 
 
+def bounded_cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """(nodes, length): every directed cycle of up to ``longest`` edges, once, from its smallest node on.
+
+    Loops are cycles of length 1. Paths grow by one join a step; they begin at
+    their smallest node and never return to one they have, and nodes without an
+    edge in or out are removed first, so only what may still close is carried.
+    """
+    rows = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    loops = rows.where("src = dst").select(F.array("src").alias("nodes"))
+    live = cut_lineage(rows.where("src <> dst"))
+    for _ in range(2):
+        live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    live = cut_lineage(live.select("src", "dst"))
+    paths = live.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"))
+    found = loops
+    for length in range(2, longest + 1):
+        step = paths.join(live, paths["last"] == live["src"]).select("first", "dst", "nodes")
+        closed = step["dst"] == step["first"]
+        more = (step["dst"] > step["first"]) & ~F.array_contains("nodes", step["dst"])
+        step = cut_lineage(step.where(closed | (more if length < longest else F.lit(False))))
+        found = found.unionByName(step.where("dst = first").select("nodes"))
+        paths = step.where("dst <> first").select("first", F.col("dst").alias("last"), F.array_append("nodes", F.col("dst")).alias("nodes"))
+    return found.select("nodes", F.size("nodes").alias("length"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree) over distinct edges without loops."""
     rows = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct()

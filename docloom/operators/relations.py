@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.store import drifted
+from docloom.session import cut_lineage
 
 
 def validate_targets(candidates: DataFrame, live: DataFrame) -> DataFrame:
@@ -83,6 +84,20 @@ def cache_probe(keys: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """Numbers the rows of every group in batches of ``size``."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Numbers the rows of every group in batches of ``size``, in the order of ``order``.
+
+    Rows are range-partitioned by group and order, so a group of any size is
+    spread over many slices; a row's number is its place in its slice, plus what
+    the slices before hold of its group. Of that there is a row per slice and
+    group. The sorted rows are cut off from their lineage, so that both reads
+    see the same slices. Rows that are equal in ``order`` keep no fixed order.
+    """
+    key = [group, *order]
+    sliced = cut_lineage(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_slice", F.spark_partition_id()))
+    counts = sliced.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_slice", F.col(group).alias("_group"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_slice", group).orderBy(*order))
+    numbered = sliced.withColumn("_place", place)
+    joined = numbered.join(offsets, (numbered["_slice"] == offsets["_slice"]) & numbered[group].eqNullSafe(offsets["_group"]))
+    return joined.withColumn("batch", F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("long")).select(*rows.columns, "batch")

@@ -31,6 +31,7 @@ def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components over the edges of exact channels, a link or a shared identifier; so are their sizes and the labels."""
     return G.components(_exact_edges(spark, d))
 
 
@@ -46,6 +47,11 @@ def graph_cycles(spark: SparkSession, d: str) -> DataFrame:
     return G.short_cycles(_edges(spark, d))
 
 
+def graph_cycles_4(spark: SparkSession, d: str) -> DataFrame:
+    """All cycles of up to four candidate edges."""
+    return G.bounded_cycles(_edges(spark, d), 4)
+
+
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(_edges(spark, d))
 
@@ -110,7 +116,7 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_bfs, graph_components, graph_component_sizes, graph_labels, graph_cycles, graph_degrees, change_queue, change_sessions, change_expiry, label_accumulation, event_transitions, stream_windows, stream_windows_all, stream_latest, modal_conflicts, numeric_bounds, section_chunks)
+    for f in (graph_bfs, graph_components, graph_component_sizes, graph_labels, graph_cycles, graph_cycles_4, graph_degrees, change_queue, change_sessions, change_expiry, label_accumulation, event_transitions, stream_windows, stream_windows_all, stream_latest, modal_conflicts, numeric_bounds, section_chunks)
 }
 
 _E = "e AS (SELECT source_section_id AS src, target_section_id AS dst FROM related_section_candidates WHERE trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> '')"
@@ -131,6 +137,10 @@ l0 AS (SELECT DISTINCT src AS node, src AS label FROM u), {", ".join(_ROUND.form
 h1 AS (SELECT DISTINCT dst AS node FROM h0 JOIN u ON node = src WHERE dst NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT dst AS node FROM h1 JOIN u ON node = src WHERE dst NOT IN (SELECT node FROM h0) AND dst NOT IN (SELECT node FROM h1))
 SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""",
     "graph_cycles": f"WITH {_E} SELECT DISTINCT a.src AS a, a.dst AS b FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst",
+    "graph_cycles_4": f"""WITH RECURSIVE {_E}, d AS (SELECT DISTINCT src, dst FROM e),
+p AS (SELECT [src] AS nodes, dst AS next FROM d WHERE dst >= src
+  UNION ALL SELECT list_append(nodes, next), d.dst FROM p JOIN d ON d.src = next WHERE next <> nodes[1] AND len(nodes) < 4 AND d.dst >= nodes[1] AND NOT list_contains(nodes, next))
+SELECT nodes, CAST(len(nodes) AS INTEGER) AS length FROM p WHERE next = nodes[1]""",
     "graph_degrees": f"WITH {_E}, x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM x UNION ALL SELECT dst, 0, 1 FROM x) GROUP BY node",
     "change_queue": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_change, max(ts) AS changed_at, count(*) AS changes FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "change_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

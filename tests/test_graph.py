@@ -68,3 +68,33 @@ def test_cycles_and_degrees(spark):
     rows = [("a", "b", 1), ("b", "a", 1), ("b", "c", 1), ("b", "c", 1), ("c", "c", 1), (None, "c", 1)]
     assert [(r.a, r.b) for r in G.short_cycles(edges(spark, rows)).collect()] == [("a", "b")]
     assert {(r.node, r.out_degree, r.in_degree) for r in G.degrees(edges(spark, rows)).collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 0, 1)}
+
+
+def test_cycles_of_any_bounded_length(spark):
+    rng = random.Random(9)
+    rows = [(f"n{rng.randint(0, 11):02d}", f"n{rng.randint(0, 11):02d}", 1) for _ in range(36)] + [(None, "n01", 1), ("n01", None, 1)]
+    out = {}
+    for a, b, _ in rows:
+        if a and b:
+            out.setdefault(a, set()).add(b)
+    want = set()
+
+    def walk(path):
+        for n in out.get(path[-1], ()):
+            if n == path[0]:
+                want.add(tuple(path))
+            elif n > path[0] and n not in path and len(path) < 5:
+                walk([*path, n])
+
+    for a in out:
+        walk([a])
+    got = [tuple(r.nodes) for r in G.bounded_cycles(edges(spark, rows + rows[:5]), 5).collect()]
+    assert set(got) == want and len(got) == len(want) and max(map(len, want)) == 5
+    assert G.bounded_cycles(edges(spark, []), 4).count() == 0
+
+
+def test_components_that_do_not_converge_are_an_error(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        G.components(edges(spark, [(f"p{i:02d}", f"p{i + 1:02d}", 1) for i in range(40)]), rounds=1)

@@ -33,3 +33,11 @@ def test_groups(spark):
     assert sorted(r.batch for r in keyed.collect()) == [0, 0, 1]
     probe = L.cache_probe(rows.select("v").where("v IS NOT NULL").distinct(), spark.createDataFrame([("a",), (None,)], "v string"), "v")
     assert {(r.v, r.hit) for r in probe.collect()} == {("a", True), ("b", False), ("y", False), ("z", False)}
+
+
+def test_batches_of_a_hot_group(spark):
+    rows = [("hot", i, "x") for i in range(900)] + [("b", i, "x") for i in range(7)] + [(None, i, "x") for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, n int, batch0 string").repartition(5)
+    got = {(r.g, r.n): r.batch for r in L.batches(df, "g", ["n"], 4).collect()}
+    assert got == {(g, n): n // 4 for g, n, _ in rows}
+    assert L.batches(df.limit(0), "g", ["n"], 4).count() == 0
