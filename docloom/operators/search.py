@@ -32,6 +32,12 @@ def top_k(hits: DataFrame, k: int, query: str = "query_id", row: str = "row_id",
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds."""
+    scale = 10.0**digits
+    return np.copysign(np.floor(np.abs(x) * scale + 0.5) / scale, x)
+
+
 class _Best:
     """The k best (score, row) of every query of a task; ties go to the smaller row."""
 
@@ -99,7 +105,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, digits
                 best = best or _Best(k, len(q), b.column(0).type)
                 for s in range(0, b.num_rows if len(q) and k > 0 else 0, 4096):
                     rows = b.slice(s, 4096)
-                    best.add(np.round(q @ unit(matrix(rows.column(1))).T, digits), rows.column(0))
+                    best.add(_rounded(q @ unit(matrix(rows.column(1))).T, digits), rows.column(0))
             if best:
                 yield best.hits(names)
 
@@ -146,7 +152,7 @@ def term_top_k(rows: DataFrame, queries: DataFrame, k: int, saturate: tuple[floa
                     if saturate:
                         k1, fade, mean = saturate
                         n = n * (k1 + 1) / (n + k1 * (1 - fade + fade * lengths[:, None] / mean))
-                    best.add(np.round((n @ asked).T, digits), part.column(0))
+                    best.add(_rounded((n @ asked).T, digits), part.column(0))
             if best:
                 yield best.hits(names)
 

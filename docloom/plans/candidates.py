@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import candidates as K
 from docloom.operators import markdown as M
 from docloom.plans.search import _HYBRID, _RANK, section_dense_gate
+from docloom.plans.text import _slug
 from docloom.sources.tables import table
 
 _C = F.col
@@ -58,14 +59,17 @@ def candidate_generation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (link_targets, candidate_generation)}
 
 # what each derived link must lead to follows from the candidate it was made of
-_LINKS = r"""c AS (SELECT DISTINCT candidate_id, source_section_id AS source, target_section_id AS target FROM related_section_candidates
+_LINKS = rf"""c AS (SELECT DISTINCT candidate_id, source_section_id AS source, target_section_id AS target FROM related_section_candidates
   WHERE regexp_full_match(source_section_id, '[^\s#]+#[^\s#]+') AND regexp_full_match(target_section_id, '[^\s#]+#[^\s#]+')),
 ids AS (SELECT DISTINCT section_id FROM sections WHERE section_id IS NOT NULL AND source_document_id IS NOT NULL),
 firsts AS (SELECT source_document_id AS document, arg_min(section_id, (source_span.start_line, section_id)) AS section_id FROM sections WHERE section_id IS NOT NULL GROUP BY 1),
+slugs AS (SELECT source_document_id AS document, {_slug("heading_path[-1]")} AS slug, arg_max(section_id, (source_span.start_line, section_id)) AS section_id FROM sections WHERE section_id IS NOT NULL AND len(heading_path) > 0 GROUP BY 1, 2),
+ends AS (SELECT id, coalesce(ids.section_id, slugs.section_id) AS section_id FROM (SELECT source AS id FROM c UNION SELECT target FROM c)
+  LEFT JOIN ids ON ids.section_id = id LEFT JOIN slugs ON slugs.document = split_part(id, '#', 1) AND slugs.slug = {_slug("split_part(id, '#', 2)")}),
 l AS (
-  SELECT candidate_id, source, 0 AS position, 'part' AS label, CASE WHEN candidate_id % 3 = 0 THEN firsts.section_id ELSE ids.section_id END AS target_id FROM c LEFT JOIN ids ON ids.section_id = target LEFT JOIN firsts ON document = split_part(target, '#', 1)
+  SELECT candidate_id, source, 0 AS position, 'part' AS label, CASE WHEN candidate_id % 3 = 0 THEN firsts.section_id ELSE ends.section_id END AS target_id FROM c JOIN ends ON ends.id = target LEFT JOIN firsts ON document = split_part(target, '#', 1)
   UNION ALL SELECT candidate_id, source, 1, 'site', NULL FROM c
-  UNION ALL SELECT candidate_id, source, 2, 'top', ids.section_id FROM c LEFT JOIN ids ON ids.section_id = source)"""
+  UNION ALL SELECT candidate_id, source, 2, 'top', ends.section_id FROM c JOIN ends ON ends.id = source)"""
 
 SQL = {
     "link_targets": f"WITH {_LINKS} SELECT candidate_id, position, label, target_id FROM l",
