@@ -124,43 +124,53 @@ def term_top_k(rows: DataFrame, queries: DataFrame, k: int, saturate: tuple[floa
     n (k1 + 1) / (n + k1 (1 - b + b m / mean)). Scores are rounded before they
     are ranked. Null rows and terms have no score.
     """
-    kind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["row_id"]
-    weighted = "weights" in rows.columns
-    columns = rows.where("row_id IS NOT NULL AND terms IS NOT NULL").select("row_id", "terms", *(["weights"] if weighted else []))
     out = None
     for table in _passes(queries.where("query_id IS NOT NULL AND term IS NOT NULL"), TERM_QUERIES):
         names, terms = (table.column(i).combine_chunks().dictionary_encode() for i in (0, 1))
-        at = np.asarray(terms.indices, dtype=np.int64), np.asarray(names.indices, dtype=np.int64)
-        shared = rows.sparkSession.sparkContext.broadcast((names.dictionary, terms.dictionary, at, np.asarray(table.column(2).to_numpy(), dtype=np.float64)))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, terms, (t, q), w = shared.value
-            asked = np.zeros((len(terms), len(names)))
-            np.add.at(asked, (t, q), w)
-            best, step = None, max(1, CELLS // max(1, len(terms)))
-            for b in batches:
-                best = best or _Best(k, len(names), b.column(0).type)
-                for s in range(0, b.num_rows if len(names) and k > 0 else 0, step):
-                    part = b.slice(s, step)
-                    lists = part.column(1)
-                    code = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                    lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-                    owner = np.repeat(np.arange(len(lengths)), lengths)
-                    value = np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)[code >= 0] if weighted else None
-                    owner, code = owner[code >= 0], code[code >= 0]
-                    n = np.bincount(owner * len(terms) + code, value, minlength=len(lengths) * len(terms)).reshape(len(lengths), len(terms))
-                    if saturate:
-                        k1, fade, mean = saturate
-                        n = n * (k1 + 1) / (n + k1 * (1 - fade + fade * lengths[:, None] / mean))
-                    best.add(_rounded((n @ asked).T, digits), part.column(0))
-            if best:
-                yield best.hits(names)
-
-        hits = columns.mapInArrow(search, f"query_id {kind[0]}, row_id {kind[1]}, score double")
+        hits = _term_hits(rows, dict(queries.dtypes)["query_id"], names, terms, table.column(2).to_numpy(), k, saturate, digits)
         out = hits if out is None else out.unionByName(hits)
     return top_k(out, k)
 
 
+def _term_hits(rows: DataFrame, kind: str, names: pa.DictionaryArray, terms: pa.DictionaryArray, weights: np.ndarray, k: int, saturate: tuple[float, float, float] | None, digits: int) -> DataFrame:
+    """(query_id, row_id, score): the k best rows of every query in every task, for one pass of queries."""
+    weighted = "weights" in rows.columns
+    # no filter on the terms here: it would compute them a second time
+    columns = rows.where("row_id IS NOT NULL").select("row_id", "terms", *(["weights"] if weighted else []))
+    at = np.asarray(terms.indices, dtype=np.int64), np.asarray(names.indices, dtype=np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((names.dictionary, terms.dictionary, at, np.asarray(weights, dtype=np.float64)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, (t, q), w = shared.value
+        asked = np.zeros((len(terms), len(names)))
+        np.add.at(asked, (t, q), w)
+        best, step = None, max(1, CELLS // max(1, len(terms)))
+        for b in batches:
+            best = best or _Best(k, len(names), b.column(0).type)
+            for s in range(0, b.num_rows if len(names) and k > 0 else 0, step):
+                part = b.slice(s, step)
+                lists = part.column(1)
+                code = _codes(lists, terms)
+                lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+                owner = np.repeat(np.arange(len(lengths)), lengths)
+                value = np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)[code >= 0] if weighted else None
+                owner, code = owner[code >= 0], code[code >= 0]
+                n = np.bincount(owner * len(terms) + code, value, minlength=len(lengths) * len(terms)).reshape(len(lengths), len(terms))
+                if saturate:
+                    k1, fade, mean = saturate
+                    n = n * (k1 + 1) / (n + k1 * (1 - fade + fade * lengths[:, None] / mean))
+                best.add(_rounded((n @ asked).T, digits), part.column(0))
+        if best:
+            yield best.hits(names)
+
+    return columns.mapInArrow(search, f"query_id {kind}, row_id {dict(rows.dtypes)['row_id']}, score double")
+
+
+def _codes(lists: pa.ListArray, terms: pa.Array) -> np.ndarray:
+    """The place in ``terms`` of every list element, -1 for those that are not there."""
+    return pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def term_counts(rows: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, token, n): how often each term occurs in each row."""
     return rows.select(key, F.explode(terms).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
@@ -172,22 +182,43 @@ def capped_terms(counts: DataFrame, cap: int) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap).drop("place")
 
 
+def _statistics(rows: DataFrame, terms: pa.Array) -> tuple[int, float, np.ndarray]:
+    """(rows with terms, their mean length, in how many rows each of ``terms`` occurs): one line per task and term is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        total = np.zeros(len(terms) + 2, dtype=np.int64)
+        for b in batches:
+            lengths = np.asarray(b.column(0).value_lengths().fill_null(0), dtype=np.int64)
+            code = _codes(b.column(0), terms)
+            pairs = np.unique(np.repeat(np.arange(len(lengths)), lengths)[code >= 0] * len(terms) + code[code >= 0])
+            total[:-2] += np.bincount(pairs % max(1, len(terms)), minlength=len(terms))
+            total[-2:] += (int((lengths > 0).sum()), int(lengths.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
+
+    summed = np.zeros(len(terms) + 2, dtype=np.int64)
+    for r in rows.select("terms").mapInArrow(count, "i long, n long").where("n > 0").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        summed[r.i] = r.n
+    return int(summed[-2]), summed[-1] / max(1, summed[-2]), summed[:-2]
+
+
 def bm25_top_k(rows: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(query_id, row_id, score, rank) from (row_id, terms) and (query_id, token, n).
 
     idf is ln(1 + (N - df + .5) / (df + .5)). Number and mean length of the rows
-    that have terms are one row, and only the asked terms are counted, so the
-    index statistics are aggregates without a shuffle of the rows' terms.
+    that have terms, and the document frequencies of the asked terms, are
+    counted where the rows are; no row's terms are shuffled.
     """
-    full = rows.where("size(terms) > 0")
-    docs, mean = full.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
-    if not docs:
-        docs, mean = 0, 1.0
-    asked = queries.select("token").distinct()
-    df = full.select(F.explode(F.array_distinct("terms")).alias("token")).join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = queries.join(df, "token").select("query_id", F.col("token").alias("term"), (F.col("n") * idf).alias("weight"))
-    return term_top_k(full, weights, k, (k1, b, float(mean)), digits)
+    out = None
+    for table in _passes(queries.where("query_id IS NOT NULL AND token IS NOT NULL").select("query_id", "token", "n"), TERM_QUERIES):
+        names, terms = (table.column(i).combine_chunks().dictionary_encode() for i in (0, 1))
+        docs, mean, df = _statistics(rows, terms.dictionary)
+        idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
+        weights = table.column(2).to_numpy() * idf[np.asarray(terms.indices, dtype=np.int64)]
+        hits = _term_hits(rows, dict(queries.dtypes)["query_id"], names, terms, weights, k, (k1, b, mean or 1.0), digits)
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, k)
 
 
 def fuse(channels: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:

@@ -64,10 +64,10 @@ _LINKS = rf"""c AS (SELECT DISTINCT candidate_id, source_section_id AS source, t
 ids AS (SELECT DISTINCT section_id FROM sections WHERE section_id IS NOT NULL AND source_document_id IS NOT NULL),
 firsts AS (SELECT source_document_id AS document, arg_min(section_id, (source_span.start_line, section_id)) AS section_id FROM sections WHERE section_id IS NOT NULL GROUP BY 1),
 slugs AS (SELECT source_document_id AS document, {_slug("heading_path[-1]")} AS slug, arg_max(section_id, (source_span.start_line, section_id)) AS section_id FROM sections WHERE section_id IS NOT NULL AND len(heading_path) > 0 GROUP BY 1, 2),
-ends AS (SELECT id, coalesce(ids.section_id, slugs.section_id) AS section_id FROM (SELECT source AS id FROM c UNION SELECT target FROM c)
+ends AS (SELECT id, coalesce(ids.section_id, slugs.section_id) AS section_id FROM (SELECT source AS id FROM c UNION SELECT ltrim(target, '/') FROM c)
   LEFT JOIN ids ON ids.section_id = id LEFT JOIN slugs ON slugs.document = split_part(id, '#', 1) AND slugs.slug = {_slug("split_part(id, '#', 2)")}),
 l AS (
-  SELECT candidate_id, source, 0 AS position, 'part' AS label, CASE WHEN candidate_id % 3 = 0 THEN firsts.section_id ELSE ends.section_id END AS target_id FROM c JOIN ends ON ends.id = target LEFT JOIN firsts ON document = split_part(target, '#', 1)
+  SELECT candidate_id, source, 0 AS position, 'part' AS label, CASE WHEN candidate_id % 3 = 0 THEN firsts.section_id WHEN candidate_id % 3 = 2 OR target[1] <> '/' THEN ends.section_id END AS target_id FROM c JOIN ends ON ends.id = ltrim(target, '/') LEFT JOIN firsts ON document = split_part(ltrim(target, '/'), '#', 1)
   UNION ALL SELECT candidate_id, source, 1, 'site', NULL FROM c
   UNION ALL SELECT candidate_id, source, 2, 'top', ends.section_id FROM c JOIN ends ON ends.id = source)"""
 
