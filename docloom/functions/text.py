@@ -140,6 +140,19 @@ def embedding_text(heading_path: Column, summary: Column, keys: Column, names: C
     return F.concat_ws(" | ", part(F.array_join(F.coalesce(heading_path, _none()), " / ")), part(summary), part(joined(keys, ", ")), part(joined(names, ", ")))
 
 
+def query_text(heading_path: Column, summary: Column, keys: Column, text: Column) -> Column:
+    """The non-empty ones of heading, summary and keys, joined by ' | '; the text where all are empty."""
+    part = lambda c: F.when(c != "", c)
+    heading = F.array_join(F.filter(F.coalesce(heading_path, _none()), lambda x: x != ""), " / ")
+    joined = F.concat_ws(" | ", part(heading), part(summary), part(F.array_join(F.coalesce(keys, _none()), " ")))
+    return F.when(joined != "", joined).otherwise(F.coalesce(text, F.lit("")))
+
+
+def has_body_text(text: Column) -> Column:
+    """Whether a line has something on it and is no heading."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?mU)^\s*[^#\s]")
+
+
 def char_grams(text: Column, n: int) -> Column:
     """All n-grams of the lower-cased text without white space."""
     # bound once as the only element of an array, so that no gram computes it again

@@ -75,9 +75,43 @@ def unordered_pairs(candidates: DataFrame) -> DataFrame:
     a, b = F.col("source_section_id"), F.col("target_section_id")
     rows = candidates.where("trim(source_section_id) <> '' AND trim(target_section_id) <> ''").select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id"), (a < b).alias("forward"))
     pairs = rows.groupBy("left_id", "right_id").agg(F.count_distinct("forward").alias("directions"))
+    return pairs.select("left_id", "right_id", pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "directions")
+
+
+def pair_id(left: Column, right: Column) -> Column:
+    """A hash that names the unordered pair; ``left`` is the smaller id."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    text = F.concat(F.lit('["v1",['), quoted(F.col("left_id")), F.lit(","), quoted(F.col("right_id")), F.lit("]]"))
-    return pairs.select("left_id", "right_id", F.concat(F.lit("section_pair:sha256:v1:"), F.sha2(text, 256)).alias("pair_id"), "directions")
+    text = F.concat(F.lit('["v1",['), quoted(left), F.lit(","), quoted(right), F.lit("]]"))
+    return F.concat(F.lit("section_pair:sha256:v1:"), F.sha2(text, 256))
+
+
+#: Which origin a pair keeps that has several (fixed values).
+ORIGIN_PRECEDENCE = {"all_pairs": 0, "section_pair_retrieval": 1, "existing_conflict_recheck": 2}
+
+
+def capped_union(pairs: DataFrame, exempt: list[tuple[DataFrame, str]], cap: int) -> DataFrame:
+    """(left_id, right_id, pair_id, origin): the first ``cap`` of ``pairs`` by pair id, and all exempt ones.
+
+    ``pairs`` has (left_id, right_id, origin), each exempt table (left_id,
+    right_id) with its origin. A pair that is found twice keeps the origin of
+    the higher precedence. A negative cap is none.
+    """
+    def named(df: DataFrame) -> DataFrame:
+        ends = df.where("left_id IS NOT NULL AND right_id IS NOT NULL").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "origin")
+        return ends.distinct().withColumn("pair_id", pair_id(F.col("left_id"), F.col("right_id")))
+
+    rows = named(pairs)
+    rows = rows if cap < 0 else rows.orderBy("pair_id").limit(cap)
+    for df, origin in exempt:
+        rows = rows.unionByName(named(df.withColumn("origin", F.lit(origin))))
+    precedence = F.create_map(*[F.lit(x) for kv in ORIGIN_PRECEDENCE.items() for x in kv])[F.col("origin")]
+    return rows.groupBy("left_id", "right_id", "pair_id").agg(F.max_by("origin", precedence).alias("origin"))
+
+
+def with_fallback(selected: DataFrame, fallback: DataFrame, source: str) -> DataFrame:
+    """The selected rows, and the fallback rows of the sources that have none selected, told apart by ``origin``."""
+    rest = fallback.join(selected.select(source).distinct(), source, "left_anti")
+    return selected.withColumn("origin", F.lit("selected")).unionByName(rest.withColumn("origin", F.lit("fallback")))
 
 
 def owners(items: DataFrame, key: str, values: str, least: int = 2) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries: one module per area, each with QUERIES and SQL."""
 
-MODULES = ("dealt", "text", "search", "corpus", "graph", "relations", "candidates")
+MODULES = ("dealt", "text", "search", "corpus", "graph", "relations", "candidates", "records")

@@ -148,3 +148,21 @@ def test_limits_of_the_reference(spark, tmp_path):
     assert passed == {"a": 8, "b": 8, "c": 9}
     for name in ("candidate_limit_32", "candidate_dropped_32", "candidate_gate_8"):
         assert difference(spark, name, corpus.QUERIES[name], corpus.SQL[name], d) is None
+
+
+def test_global_cap_spares_what_is_exempt(spark):
+    ends = "left_id string, right_id string"
+    pairs = spark.createDataFrame([("b", "a", "section_pair_retrieval"), ("a", "b", "section_pair_retrieval"), ("c", "a", "section_pair_retrieval"), ("d", "a", "section_pair_retrieval"), (None, "a", "section_pair_retrieval")], f"{ends}, origin string")
+    exempt = [(spark.createDataFrame([("a", "a"), ("b", "a")], ends), "all_pairs"), (spark.createDataFrame([("c", "a")], ends), "existing_conflict_recheck")]
+    every = {(r.left_id, r.right_id): (r.pair_id, r.origin) for r in K.capped_union(pairs, exempt, -1).collect()}
+    assert {k: v[1] for k, v in every.items()} == {("a", "b"): "section_pair_retrieval", ("a", "c"): "existing_conflict_recheck", ("a", "d"): "section_pair_retrieval", ("a", "a"): "all_pairs"}
+    none = {(r.left_id, r.right_id): r.origin for r in K.capped_union(pairs, exempt, 0).collect()}
+    assert none == {("a", "a"): "all_pairs", ("a", "b"): "all_pairs", ("a", "c"): "existing_conflict_recheck"}
+    one = {(r.left_id, r.right_id) for r in K.capped_union(pairs, [], 1).collect()}
+    assert one == {min((k for k in every if every[k][1] != "all_pairs"), key=lambda k: every[k][0])}
+
+
+def test_fallback_only_where_nothing_is_selected(spark):
+    rows = lambda r: spark.createDataFrame(r, "s string, t string")
+    got = K.with_fallback(rows([("a", "x")]), rows([("a", "y"), ("b", "z")]), "s").collect()
+    assert {(r.s, r.t, r.origin) for r in got} == {("a", "x", "selected"), ("b", "z", "fallback")}
