@@ -127,5 +127,5 @@ SELECT coalesce(o.source_document_id, n.source_document_id) AS source_document_i
 WHERE candidate_id IS NOT NULL AND (list_contains(channels, 'markdown_link') OR list_contains(channels, 'shared_identifier')) AND candidate_score >= 0.5""",
     "relation_fallback": """WITH p AS (SELECT source_section_id, target_section_id, bool_or(coalesce(list_contains(channels, 'markdown_link') OR list_contains(channels, 'shared_identifier'), false)) AS exact
   FROM related_section_candidates WHERE trim(source_section_id, ' ') <> '' AND trim(target_section_id, ' ') <> '' GROUP BY 1, 2),
-q AS (SELECT *, bool_or(exact) OVER (PARTITION BY source_section_id) AS some FROM p) SELECT source_section_id, target_section_id, CASE WHEN exact THEN 'selected' ELSE 'fallback' END AS origin FROM q WHERE exact OR NOT some""",
+q AS (SELECT *, bool_or(exact) OVER (PARTITION BY source_section_id) AS has_exact FROM p) SELECT source_section_id, target_section_id, CASE WHEN exact THEN 'selected' ELSE 'fallback' END AS origin FROM q WHERE exact OR NOT has_exact""",
 }
