@@ -74,15 +74,18 @@ def section_point_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Of every candidate pair, how many of its evidence terms occur in the text of either section."""
-    texts = _sections(spark, d).select("section_id", "text")
+    """Of every candidate pair, how many of its evidence terms occur in the text of either section.
+
+    Each distinct (section, term) meets the section's text once; only the answers go back to the candidates.
+    """
     pairs = table(spark, d, "related_section_candidates").where("size(evidence_terms) > 0").select("candidate_id", "source_section_id", "target_section_id", "evidence_terms").distinct()
-    side = lambda name: texts.select(_C("section_id").alias(f"{name}_section_id"), F.coalesce("text", F.lit("")).alias(f"{name}_text"))
-    both = pairs.join(side("source"), "source_section_id", "left").join(side("target"), "target_section_id", "left")
-    corpus = F.concat_ws("\n", "source_text", "target_text")
     terms = F.filter("evidence_terms", lambda t: t.isNotNull() & (F.trim(t) != ""))
-    hits = F.filter(terms, lambda t: F.contains(corpus, t))
-    return both.select("candidate_id", F.size(terms).alias("terms"), F.size(hits).alias("found"), F.round(T.match_score(terms, corpus), 6).alias("score"))
+    asked = pairs.select("candidate_id", F.explode(F.array_distinct(F.array("source_section_id", "target_section_id"))).alias("section_id"), F.posexplode(terms).alias("place", "term"))
+    texts = _sections(spark, d).where("text IS NOT NULL").select("section_id", "text")
+    held = asked.where("section_id IS NOT NULL").select("section_id", "term").distinct().join(texts, "section_id").where(F.contains("text", "term")).select("section_id", "term")
+    found = asked.join(held, ["section_id", "term"]).groupBy("candidate_id").agg(F.countDistinct("place").cast("int").alias("found"))
+    rows = pairs.select("candidate_id", F.size(terms).alias("terms")).join(found, "candidate_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return rows.select("candidate_id", "terms", "found", F.when(_C("terms") > 0, F.round(_C("found") / _C("terms"), 6)).otherwise(F.lit(0.0)).alias("score"))
 
 
 def section_sparse(spark: SparkSession, d: str) -> DataFrame:
